@@ -53,13 +53,13 @@ def byte_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, off - off[0]
 
 
-def slices(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges of about ``limit`` bytes each; whole documents, however long."""
+def slices(column: pa.Array, limit: int = CHUNK_BYTES, rows: int = 1024) -> Iterator[tuple[int, int]]:
+    """Row ranges of about ``limit`` bytes and at most ``rows`` rows each; whole documents, however long."""
     _, off = byte_view(column)
     start = 0
     while start < len(column):
         end = int(np.searchsorted(off, off[start] + limit, side="right")) - 1
-        end = min(max(end, start + 1), len(column))
+        end = min(max(end, start + 1), start + rows, len(column))
         yield start, end
         start = end
 
