@@ -21,6 +21,9 @@ _CLASS = np.zeros(256, np.uint8)
 for _b in b"0123456789abcdefghijklmnopqrstuvwxyz":
     _CLASS[_b] = _b
 _CLASS[128:] = np.arange(128, 256)
+_MARKED = _CLASS.copy()
+for _b in b"#$%&*+/<=>@[]^_`{|}~\\":
+    _MARKED[_b] = _b
 _SPAN = 64
 _TABLE = np.random.Generator(np.random.PCG64(20240131)).integers(0, 2**64, size=(256, _SPAN), dtype=U64)
 _TABLE[0] = 0
@@ -69,12 +72,13 @@ class Words:
 
     ``doc`` is the row of each word, ``start``/``end`` its byte range in ``data``,
     ``hash`` its 64-bit hash, ``first`` the index of each row's first word (n+1 values).
+    With ``symbols``, characters beyond ordinary punctuation count as letters.
     """
 
-    def __init__(self, column: pa.Array):
+    def __init__(self, column: pa.Array, symbols: bool = False):
         lowered = pc.utf8_lower(as_strings(column))
         self.data, self.off = byte_view(lowered)
-        cls = _CLASS[self.data]
+        cls = (_MARKED if symbols else _CLASS)[self.data]
         is_word = cls != 0
         opens = is_word.copy()
         opens[1:] &= ~is_word[:-1]

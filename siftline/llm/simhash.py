@@ -1,8 +1,9 @@
 """Near-dedup by SimHash with a Gray-order hierarchical index.
 
-A document's words (lower-cased runs of letters and digits; words of under four
-bytes weigh a quarter) are folded into a signed count sketch, and the signs of
-256 random projections of that are its fingerprint. Documents whose fingerprints
+A document's words (lower-cased runs of letters, digits and symbols such as # or $,
+so that a copy strewn with symbols is no near copy; plain words of under four bytes
+weigh a quarter) are folded into a signed count sketch, its counts are damped by a
+logarithm, and the signs of 256 random projections of that are the fingerprint. Documents whose fingerprints
 differ in at most ``max_distance`` bits are near duplicates; the groups are the
 connected components of that relation, and one document of each group stays.
 
@@ -43,6 +44,7 @@ from .components import components
 
 BITS, DIMS, FAN = 256, 4096, 8
 _FRONTIER = 1 << 20
+_PLAIN = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 
 
 def _projection() -> np.ndarray:
@@ -63,12 +65,14 @@ def fingerprints(texts: pa.Array, projection: np.ndarray | None = None) -> tuple
     projection = _projection() if projection is None else projection
     bits, has = [np.zeros((0, BITS), bool)], [np.zeros(0, bool)]
     for a, b in slices(texts):
-        words = Words(texts.slice(a, b - a))
-        weight = np.where(words.end - words.start >= 4, 1.0, 0.25)
+        words = Words(texts.slice(a, b - a), symbols=True)
+        weight = np.where((words.end - words.start >= 4) | ~_PLAIN[words.data[words.start]], 1.0, 0.25)
         weight[(words.hash >> U64(40)) & U64(1) == 1] *= -1
         cell = words.doc * DIMS + (words.hash & U64(DIMS - 1)).astype(np.int64)
         sketch = np.bincount(cell, weights=weight, minlength=(b - a) * DIMS).astype(np.float32).reshape(b - a, DIMS)
-        bits.append(sketch @ projection > 0)
+        # damped counts, in 64ths so that float32 sums are exact in any order
+        damped = np.copysign(np.floor(np.log2(np.abs(sketch) + 1) * 64) / 64, sketch)
+        bits.append(damped @ projection > 0)
         has.append(words.count > 0)
     return np.concatenate(bits), np.concatenate(has)
 
