@@ -32,6 +32,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .arrays import _CLASS, as_strings, byte_view, slices
 from .common import col, fresh, require
@@ -139,8 +140,9 @@ def identify_languages(
     require(docs, id_col, text_col)
     codes, p = model or fit_languages(docs, id_col, text_col, lang_col, max_train)
     languages, shares, accepted = fresh(docs, "languages", "shares", "accepted")
-    at = docs.columns.index(text_col)
-    schema = docs.schema.add(languages, "array<string>").add(shares, "array<double>").add(accepted, "boolean")
+    at, names = docs.columns.index(text_col), [*docs.columns, languages, shares, accepted]
+    added = [T.StructField(languages, T.ArrayType(T.StringType())), T.StructField(shares, T.ArrayType(T.DoubleType())), T.StructField(accepted, T.BooleanType())]
+    schema = T.StructType([*docs.schema.fields, *added])
 
     def infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,7 +155,7 @@ def identify_languages(
             parts = [[float(s[k]) for k in o if s[k] > 0] for o, s in zip(order, share)]
             fine = [bool(x) and x[0] != "und" for x in langs]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(langs, pa.list_(pa.string())), pa.array(parts, pa.list_(pa.float64())), pa.array(fine, pa.bool_())], names=[*docs.columns, languages, shares, accepted]
+                [*batch.columns, pa.array(langs, pa.list_(pa.string())), pa.array(parts, pa.list_(pa.float64())), pa.array(fine, pa.bool_())], names=names
             )
 
     return docs.mapInArrow(infer, schema)
