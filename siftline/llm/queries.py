@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chaining import repeated_passages
 from .common import table
 from .exact_dedup import exact_dedup
 from .langid import identify_languages
@@ -13,6 +14,11 @@ from .line_dedup import line_dedup
 from .simhash import simhash_dedup
 
 
+def op2_fuzzy_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeated_passages(table(spark, sf_dir, "documents"))
+    return found.withColumnsRenamed({"id": "doc_id", "other_id": "match_doc_id"}).drop("digest")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -29,4 +35,4 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents"), length_col="n_chars")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_exact_dedup, op6_simhash_dedup, op7_language_mixture, op9_line_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_fuzzy_passages, op3_exact_dedup, op6_simhash_dedup, op7_language_mixture, op9_line_dedup)}
