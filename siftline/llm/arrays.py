@@ -119,3 +119,20 @@ class Words:
 def signed(h: np.ndarray) -> np.ndarray:
     """uint64 bits as int64, for Spark's LongType."""
     return h.view(np.int64)
+
+
+def grouped(batches, key: int = 0) -> Iterator[pa.RecordBatch]:
+    """One batch for each run of equal values in column ``key``; runs may span input batches."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = batch.column(key).to_numpy()
+        cuts = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), len(values)]
+        for a, b in zip(cuts, cuts[1:]):
+            if held and held[-1].column(key)[0] != batch.column(key)[a]:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]

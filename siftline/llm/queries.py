@@ -11,6 +11,7 @@ from .common import table
 from .exact_dedup import exact_dedup
 from .langid import identify_languages
 from .line_dedup import line_dedup
+from .packing import pack
 from .simhash import simhash_dedup
 
 
@@ -23,6 +24,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_related_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(table(spark, sf_dir, "documents"))
 
@@ -35,4 +40,4 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents"), length_col="n_chars")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_fuzzy_passages, op3_exact_dedup, op6_simhash_dedup, op7_language_mixture, op9_line_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_fuzzy_passages, op3_exact_dedup, op5_related_packing, op6_simhash_dedup, op7_language_mixture, op9_line_dedup)}
