@@ -104,6 +104,11 @@ class Words:
         self.count = np.diff(self.first)
         self.doc = np.repeat(np.arange(len(self.count)), self.count)
 
+    @staticmethod
+    def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes and offsets of the texts as they are, not lower-cased."""
+        return byte_view(as_strings(column))
+
     def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(index of the first word, hash) of every k-gram that lies in one document."""
         n = len(self.hash) - k + 1

@@ -23,4 +23,19 @@ ORACLES: dict[str, str] = {
         SELECT d.doc_id, k.text, d.lang, d.source, CAST(length(k.text) AS BIGINT) AS n_chars
         FROM documents d JOIN kept k USING (doc_id)
     """,
+    "op8_topk_search": """
+        WITH words AS (
+          SELECT doc_id, unnest(regexp_extract_all(lower(text), '[0-9a-z\\x{80}-\\x{10FFFF}]+')) AS w FROM documents),
+        lengths AS (SELECT doc_id, count(*) AS len FROM words GROUP BY doc_id),
+        corpus AS (SELECT count(*) AS n, sum(len)::DOUBLE / count(*) AS mean FROM lengths),
+        asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[0-9a-z\\x{80}-\\x{10FFFF}]+')) AS w FROM benchmark),
+        tf AS (SELECT doc_id, w, count(*) AS tf FROM words WHERE w IN (SELECT w FROM asked) GROUP BY doc_id, w),
+        idf AS (SELECT w, ln(1 + (n - count(*)::DOUBLE + 0.5) / (count(*)::DOUBLE + 0.5)) AS idf FROM tf, corpus GROUP BY w, n),
+        impact AS (
+          SELECT doc_id, w, floor(idf * (tf * 2.2::DOUBLE) / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / mean)) * 1000 + 0.5)::BIGINT AS weight
+          FROM tf JOIN idf USING (w) JOIN lengths USING (doc_id), corpus),
+        score AS (SELECT item_id, doc_id, sum(weight)::BIGINT AS score FROM asked JOIN impact USING (w) WHERE weight > 0 GROUP BY item_id, doc_id)
+        SELECT item_id, rank::INT AS rank, doc_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM score) WHERE rank <= 10
+    """,
 }

@@ -12,7 +12,13 @@ from .exact_dedup import exact_dedup
 from .langid import identify_languages
 from .line_dedup import line_dedup
 from .packing import pack
+from .quality import rank_quality
 from .simhash import simhash_dedup
+from .topk import search
+
+
+def op1_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "score", "keep")
 
 
 def op2_fuzzy_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,8 +42,18 @@ def op7_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents")).select("doc_id", "lang", "languages", "shares", "accepted")
 
 
+def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")).drop("query")
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents"), length_col="n_chars")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_fuzzy_passages, op3_exact_dedup, op5_related_packing, op6_simhash_dedup, op7_language_mixture, op9_line_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_pairwise_quality, op2_fuzzy_passages, op3_exact_dedup, op5_related_packing, op6_simhash_dedup,
+        op7_language_mixture, op8_topk_search, op9_line_dedup,
+    )
+}
