@@ -8,6 +8,25 @@ ORACLES: dict[str, str] = {
                      count(*) AS n FROM documents GROUP BY text)
         GROUP BY text
     """,
+    "op4_warc_revisits": """
+        WITH r AS (SELECT DISTINCT page_id, url, coalesce(html, '') AS html, 'sha1:' || sha1(coalesce(html, '')) AS digest FROM pages),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY digest ORDER BY page_id::VARCHAR NULLS LAST, url NULLS LAST) AS k,
+                          first_value(page_id) OVER w AS o_page, first_value(url) OVER w AS o_url
+                   FROM r WINDOW w AS (PARTITION BY digest ORDER BY page_id::VARCHAR NULLS LAST, url NULLS LAST)),
+        named AS (
+          SELECT *, md5(concat_ws(' ', digest, coalesce(o_page::VARCHAR, ''), coalesce(o_url, ''), '', 'response')) AS o,
+                 octet_length(encode(html)) AS bytes FROM ranked),
+        ided AS (
+          SELECT *, '<urn:uuid:' || o[1:8] || '-' || o[9:12] || '-' || o[13:16] || '-' || o[17:20] || '-' || o[21:32] || '>' AS o_id FROM named),
+        own AS (
+          SELECT *, CASE WHEN k > 1 THEN md5(concat_ws(' ', digest, coalesce(page_id::VARCHAR, ''), coalesce(url, ''), '', 'revisit', o_id)) END AS m FROM ided)
+        SELECT page_id, CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS type,
+               CASE WHEN k = 1 THEN o_id ELSE '<urn:uuid:' || m[1:8] || '-' || m[9:12] || '-' || m[13:16] || '-' || m[17:20] || '-' || m[21:32] || '>' END AS record_id,
+               url, digest, CASE WHEN k > 1 THEN o_id END AS refers_to, CASE WHEN k > 1 THEN o_url END AS refers_to_uri,
+               CAST(CASE WHEN k > 1 THEN 19 ELSE 17 + 40 + 16 + length(bytes::VARCHAR) + 4 + bytes END AS BIGINT) AS content_length,
+               CASE WHEN k = 1 THEN html END AS payload
+        FROM own
+    """,
     "op9_line_dedup": """
         WITH lines AS (
           SELECT doc_id, p - 1 AS pos, l[p] AS line, len(l) AS n

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .chaining import repeated_passages
 from .common import table
@@ -15,6 +16,7 @@ from .packing import pack
 from .quality import rank_quality
 from .simhash import simhash_dedup
 from .topk import search
+from .warc import deduplicated_archive, responses
 
 
 def op1_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +32,11 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = deduplicated_archive(responses(table(spark, sf_dir, "pages")))
+    return found.select(F.col("source_id").cast("long").alias("page_id"), "type", "record_id", "url", "digest", "refers_to", "refers_to_uri", "content_length", "payload")
+
+
 def op5_related_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
@@ -53,7 +60,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_pairwise_quality, op2_fuzzy_passages, op3_exact_dedup, op5_related_packing, op6_simhash_dedup,
+        op1_pairwise_quality, op2_fuzzy_passages, op3_exact_dedup, op4_warc_revisits, op5_related_packing, op6_simhash_dedup,
         op7_language_mixture, op8_topk_search, op9_line_dedup,
     )
 }
