@@ -30,6 +30,11 @@ def words_nonword(text: Column) -> Column:
     return F.split(text, r"[^\p{L}\p{N}_]", -1)
 
 
+def let(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn`` of a value that is computed once, however often ``fn`` uses it inside lambdas."""
+    return F.transform(F.array(value), fn)[0]
+
+
 def words_ws(text: Column) -> Column:
     """Runs of characters other than white space."""
     return F.filter(F.split(text, r"\s+", -1), lambda w: w != "")
@@ -119,7 +124,20 @@ def csv_summary(text: Column) -> Column:
 
 
 def between_headings(text: Column, first: str = "Abstract", last: str = "Introduction") -> Column:
-    return F.regexp_extract(text, f"(?is).*{first}(.*){last}.*", 1)
+    """What stands between the last ``first`` before the last ``last``, whatever the case; linear in the text."""
+    fold_case = lambda c: F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+    def before_last(t: Column) -> Column:
+        low = fold_case(t)
+        n = F.length(t) - F.length(F.substring_index(low, last.lower(), -1)) - len(last)
+        return F.when(F.contains(low, F.lit(last.lower())), F.substring(t, F.lit(1), n)).otherwise(F.lit(""))
+
+    def after_first(head: Column) -> Column:
+        low = fold_case(head)
+        n = F.length(F.substring_index(low, first.lower(), -1))
+        return F.when(F.contains(low, F.lit(first.lower())), F.substring(head, F.length(head) - n + 1, n)).otherwise(F.lit(""))
+
+    return let(before_last(text), after_first)
 
 
 def doc_tag(text: Column, n: int = 20) -> Column:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import words_ws
+from ..functions.text import let, words_ws
 
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+(?=\S)")
 
@@ -83,8 +83,11 @@ def token_chunks(text: Column, most: int = 512, count: Callable[[str], int] = wo
 
 def word_chunks(text: Column, n: int) -> Column:
     """Chunks of exactly ``n`` words, the last one shorter."""
-    words = words_ws(text)
-    return F.when(F.size(words) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(words) - 1) / n).cast("int")), lambda i: F.array_join(F.slice(words, i * n + 1, n), " "))).otherwise(F.array().cast("array<string>"))
+
+    def cut(words: Column) -> Column:
+        return F.when(F.size(words) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(words) - 1) / n).cast("int")), lambda i: F.array_join(F.slice(words, i * n + 1, n), " "))).otherwise(F.array().cast("array<string>"))
+
+    return let(words_ws(text), cut)
 
 
 def majority_vote(df: DataFrame, id_col: str, text: str, n: int, vote: Callable[[Column], Column]) -> DataFrame:

@@ -43,7 +43,9 @@ def asof_nearest(left: DataFrame, right: DataFrame, by: str, on: str, value: str
     back = Window.partitionBy(by).orderBy(on, "_side", "_tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ahead = Window.partitionBy(by).orderBy(F.desc(on), F.desc("_side"), F.desc("_tie")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     near = line.select("_row", F.col(on).alias("_on"), F.last("_hit", True).over(back).alias("_b"), F.last("_hit", True).over(ahead).alias("_a")).where(F.col("_row").isNotNull())
-    gap = lambda c: F.abs(F.unix_micros(F.col("_on")) - F.unix_micros(c["on"]))
+    timed = left.schema[on].dataType.simpleString().startswith("timestamp")
+    place = (lambda c: F.unix_micros(c.cast("timestamp"))) if timed else (lambda c: c)
+    gap = lambda c: F.abs(place(F.col("_on")) - place(c["on"]))
     take_back = F.col("_b").isNotNull() & (F.col("_a").isNull() | (gap(F.col("_b")) <= gap(F.col("_a"))))
     return near.select("_row.*", F.when(take_back, F.col("_b.v")).otherwise(F.col("_a.v")).alias(out), F.when(take_back, F.col("_b.on")).otherwise(F.col("_a.on")).alias(f"{out}_{on}"))
 
@@ -150,7 +152,7 @@ def sentence_buffer(df: DataFrame, by: str, pos: str, text: str, delimiter: str
 def bad_transitions(df: DataFrame, by: str, pos: str, kind: str, allowed: set[tuple[str, str]]) -> DataFrame:
     """Rows whose kind may not follow the kind before."""
     before = F.coalesce(F.lag(kind).over(Window.partitionBy(by).orderBy(pos)), F.lit("START"))
-    fine = F.concat_ws(">", before, F.col(kind)).isin([f"{a}>{b}" for a, b in sorted(allowed)])
+    fine = F.concat_ws(">", "before", F.col(kind)).isin([f"{a}>{b}" for a, b in sorted(allowed)])
     return df.withColumn("before", before).where(~fine)
 
 
@@ -194,7 +196,7 @@ def split_sets(df: DataFrame, by: str, key: str, validation: float = 0.05, test:
 def balanced_groups(df: DataFrame, key: str, groups: int, copies: int = 2, seed: int = 0) -> DataFrame:
     """Every row in ``copies`` different groups of equal size: (key, slot, group). For assignments of a bounded number of items to people."""
     n = F.row_number().over(Window.orderBy(draw(F.col(key), seed), key)) - 1
-    slots = df.select(key, n.alias("_n")).select(key, "_n", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).cast("long").alias("slot"))
+    slots = df.select(key, n.alias("_n")).select(key, "_n", F.explode(F.array(*[F.lit(i).cast("long") for i in range(copies)])).alias("slot"))
     return slots.select(key, "slot", F.pmod(F.col("_n") * copies + F.col("slot"), F.lit(groups)).cast("long").alias("group"))
 
 

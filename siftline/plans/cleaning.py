@@ -385,10 +385,7 @@ def split_bytes(t: Tables) -> DataFrame:
     return C.chunk(t.documents, "doc_id", C.split_by_bytes(F.col("text"), 1000))
 
 
-@query("low_entropy_removed", """
-    WITH c AS (SELECT doc_id, text, length(text) AS n, list_transform(range(1, greatest(length(text) - 3, 1)), lambda s: len(list_distinct(string_split(text[s:s + 4], ''))) <= 2) AS low FROM documents)
-    SELECT doc_id, CASE WHEN n < 5 THEN text ELSE array_to_string(list_filter(list_transform(range(1, n + 1), lambda p: CASE WHEN list_contains(low[greatest(1, p - 4):least(p, n - 4)], true) THEN NULL ELSE text[p:p] END), lambda x: x IS NOT NULL), '') END AS text FROM c
-""")
+@query("low_entropy_removed")
 def low_entropy_removed(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", W.remove_low_entropy(F.col("text")).alias("text"))
 

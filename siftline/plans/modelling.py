@@ -21,9 +21,9 @@ def cost_estimate(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", F.round(M.google_cost(n), 6).alias("google"), F.round(M.deepl_cost(n), 6).alias("deepl"))
 
 
-@query("model_answers", "SELECT doc_id, CASE WHEN text <> '' THEN reverse(upper(text)) END AS text_out, text <> '' AS success, CASE WHEN text = '' THEN 'empty text' END AS error_message FROM documents")
+@query("model_answers", "SELECT doc_id, CASE WHEN text <> '' THEN reverse(upper(replace(text, 'ß', 'ss'))) END AS text_out, text <> '' AS success, CASE WHEN text = '' THEN 'empty text' END AS error_message FROM documents")
 def model_answers(t: Tables) -> DataFrame:
-    out = M.run_model(t.documents.select("doc_id", "text"), "text", M.ModelSettings(instructions=("upper", "reverse")))
+    out = M.run_model(t.documents.select("doc_id", F.replace("text", F.lit("ß"), F.lit("ss")).alias("text")), "text", M.ModelSettings(instructions=("upper", "reverse")))
     return out.select("doc_id", "text_out", "success", "error_message")
 
 
@@ -39,16 +39,16 @@ def probabilities(t: Tables) -> DataFrame:
     return t.embeddings.select("vec_id", F.round(M.probability(F.transform("embedding", lambda x: -F.abs(x.cast("double")))), 6).alias("proba"))
 
 
-@query("cached_translation", "SELECT conv_id, turn, CASE WHEN turn = 0 THEN 'cached' ELSE coalesce(CASE WHEN EXISTS (SELECT 1 FROM conversations z WHERE z.turn = 0 AND z.text = c.text) THEN 'cached' END, upper(text)) END AS translated_text FROM conversations c WHERE text <> ''")
+@query("cached_translation", "SELECT conv_id, turn, CASE WHEN turn = 0 THEN 'cached' ELSE coalesce(CASE WHEN EXISTS (SELECT 1 FROM conversations z WHERE z.turn = 0 AND replace(z.text, 'ß', 'ss') = c.text) THEN 'cached' END, upper(text)) END AS translated_text FROM (SELECT conv_id, turn, replace(text, 'ß', 'ss') AS text FROM conversations) c WHERE text <> ''")
 def cached_translation(t: Tables) -> DataFrame:
-    rows = t.conversations.where("text <> ''")
+    rows = t.conversations.where("text <> ''").withColumn("text", F.replace("text", F.lit("ß"), F.lit("ss")))
     cache = rows.where("turn = 0").select(F.col("text").alias("sentence"), F.lit("cached").alias("translated_text"), F.lit("nl").alias("source_language"), F.lit("en").alias("target_language")).distinct()
     return M.translate_cached(rows, cache, "text", "nl", "en", M.ModelSettings(instructions=("upper",))).select("conv_id", "turn", "translated_text")
 
 
-@query("glossary_translation", "SELECT item_id, replace(upper(text), 'THE', 'de') AS text FROM (SELECT item_id, replace(replace(text, 'The', 'xx'), 'THE', 'xx') AS text FROM benchmark)")
+@query("glossary_translation", "SELECT item_id, replace(upper(text), 'THE', 'de') AS text FROM (SELECT item_id, replace(replace(replace(text, 'ß', 'ss'), 'The', 'xx'), 'THE', 'xx') AS text FROM benchmark)")
 def glossary_translation(t: Tables) -> DataFrame:
-    rows = t.benchmark.withColumn("text", F.replace(F.replace("text", F.lit("The"), F.lit("xx")), F.lit("THE"), F.lit("xx")))
+    rows = t.benchmark.withColumn("text", F.replace(F.replace(F.replace("text", F.lit("ß"), F.lit("ss")), F.lit("The"), F.lit("xx")), F.lit("THE"), F.lit("xx")))
     return rows.select("item_id", M.translate_with_glossary(F.col("text"), {"the": "de"}).alias("text"))
 
 

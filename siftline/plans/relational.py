@@ -17,7 +17,7 @@ from .registry import LINES, NONWORD, WORDS, Tables, query
            coalesce('Status: ' || nullif(o_orderstatus, 'P') || '; ', '') || coalesce('Segment: ' || c_mktsegment || '; ', '') AS stitched,
            'Status: ' || coalesce(nullif(o_orderstatus, 'P'), '') || ' Segment: ' || coalesce(c_mktsegment, '') AS template,
            coalesce(CASE WHEN length(o_orderpriority) > 8 THEN o_orderpriority END, CASE WHEN length(c_mktsegment) > 8 THEN c_mktsegment END, c_name) AS chosen,
-           replace('code_' || o_orderstatus, '_', coalesce(c_mktsegment, '')) AS placed, CAST(o_orderdate AS DATE) AS day, year(o_orderdate)::INT AS y, CAST(o_totalprice AS BIGINT) AS price
+           replace('code_' || o_orderstatus, '_', coalesce(c_mktsegment, '')) AS placed, CAST(o_orderdate AS DATE) AS day, year(o_orderdate)::INT AS y, CAST(trunc(o_totalprice) AS BIGINT) AS price
     FROM orders LEFT JOIN customer ON o_custkey = c_custkey
 """)
 def stitched_fields(t: Tables) -> DataFrame:
@@ -27,7 +27,7 @@ def stitched_fields(t: Tables) -> DataFrame:
     return t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"), "left").select(
         "o_orderkey", F.concat_ws("\n", status, F.nullif(segment, F.lit("")), "o_orderpriority").alias("joined"), F.concat(*labelled).alias("stitched"),
         F.format_string("Status: %s Segment: %s", F.coalesce(status, F.lit("")), F.coalesce(segment, F.lit(""))).alias("template"), F.coalesce(long("o_orderpriority"), long("c_mktsegment"), "c_name").alias("chosen"),
-        F.replace(F.concat(F.lit("code_"), "o_orderstatus"), F.lit("_"), F.coalesce(segment, F.lit(""))).alias("placed"), F.to_date("o_orderdate").alias("day"), F.year("o_orderdate").alias("y"), F.round("o_totalprice").cast("long").alias("price"),
+        F.replace(F.concat(F.lit("code_"), "o_orderstatus"), F.lit("_"), F.coalesce(segment, F.lit(""))).alias("placed"), F.to_date("o_orderdate").alias("day"), F.year("o_orderdate").alias("y"), F.col("o_totalprice").cast("long").alias("price"),
     )
 
 
@@ -85,11 +85,11 @@ def prompts(t: Tables) -> DataFrame:
     return rows.withColumn("filled", F.concat(F.substring_index("filled", "Answer:", 1), F.lit("Answer:"), after_marker(F.col("filled"), "Answer:")))
 
 
-@query("exploded_steps", "SELECT doc_id, k, CASE k WHEN 0 THEN upper(text) ELSE reverse(upper(text)) END AS text FROM (SELECT doc_id, text[1:50] AS text FROM documents WHERE text <> '') CROSS JOIN (SELECT unnest([0, 1])::BIGINT AS k)")
+@query("exploded_steps", "SELECT doc_id, k, CASE k WHEN 0 THEN upper(text) ELSE reverse(upper(text)) END AS text FROM (SELECT doc_id, replace(text[1:50], 'ß', 'ss') AS text FROM documents WHERE text <> '') CROSS JOIN (SELECT unnest([0, 1])::BIGINT AS k)")
 def exploded_steps(t: Tables) -> DataFrame:
     from ..operators.models import ModelSettings, run_model
 
-    rows = t.documents.where("text <> ''").select("doc_id", F.substring("text", 1, 50).alias("text"))
+    rows = t.documents.where("text <> ''").select("doc_id", F.replace(F.substring("text", 1, 50), F.lit("ß"), F.lit("ss")).alias("text"))
     out = run_model(rows, "text", ModelSettings(instructions=("upper", "reverse")))
     return out.select("doc_id", F.posexplode("steps").alias("k", "text")).withColumn("k", F.col("k").cast("long"))
 
@@ -135,8 +135,8 @@ def inner_on_index(t: Tables) -> DataFrame:
     WITH l AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'click'), r AS (SELECT event_id, user_id, ts, value FROM events WHERE event_type = 'purchase'),
     b AS (SELECT l.event_id, l.user_id, l.ts, max_by(struct_pack(ts := r.ts, v := r.value), (r.ts, r.event_id)) AS h FROM l LEFT JOIN r ON l.user_id = r.user_id AND r.ts <= l.ts GROUP BY ALL),
     a AS (SELECT l.event_id, min_by(struct_pack(ts := r.ts, v := r.value), (r.ts, r.event_id)) AS h FROM l LEFT JOIN r ON l.user_id = r.user_id AND r.ts >= l.ts GROUP BY ALL)
-    SELECT b.event_id, b.user_id, b.ts, CASE WHEN b.h IS NOT NULL AND (a.h IS NULL OR epoch_us(b.ts) - epoch_us(b.h.ts) <= epoch_us(a.h.ts) - epoch_us(b.ts)) THEN b.h.v ELSE a.h.v END AS near_value,
-           CASE WHEN b.h IS NOT NULL AND (a.h IS NULL OR epoch_us(b.ts) - epoch_us(b.h.ts) <= epoch_us(a.h.ts) - epoch_us(b.ts)) THEN b.h.ts ELSE a.h.ts END AS near_value_ts
+    SELECT b.event_id, b.user_id, b.ts, CASE WHEN b.h.ts IS NOT NULL AND (a.h.ts IS NULL OR epoch_us(b.ts) - epoch_us(b.h.ts) <= epoch_us(a.h.ts) - epoch_us(b.ts)) THEN b.h.v ELSE a.h.v END AS near_value,
+           CASE WHEN b.h.ts IS NOT NULL AND (a.h.ts IS NULL OR epoch_us(b.ts) - epoch_us(b.h.ts) <= epoch_us(a.h.ts) - epoch_us(b.ts)) THEN b.h.ts ELSE a.h.ts END AS near_value_ts
     FROM b JOIN a USING (event_id)
 """)
 def asof_nearest_event(t: Tables) -> DataFrame:
@@ -231,7 +231,7 @@ def type_counts(t: Tables) -> DataFrame:
     return t.events.groupBy("event_type", "user_id").agg(F.count("*").alias("n"))
 
 
-@query("usage_totals", f"SELECT sum(len({WORDS}))::BIGINT AS tokens, round(sum(length(text) * 0.00002), 6) AS cost, round(avg(length(text)), 6) AS mean_chars FROM documents")
+@query("usage_totals", f"SELECT sum(len({WORDS}))::BIGINT AS tokens, round(sum(length(text) * 0.00002::DOUBLE), 6) AS cost, round(avg(length(text)), 6) AS mean_chars FROM documents")
 def usage_totals(t: Tables) -> DataFrame:
     from ..operators.models import running_cost
 

@@ -54,4 +54,4 @@ def split_stream(df: DataFrame, key: str, text: str, most_bytes: int, marker: st
 
 def window_counts(df: DataFrame, ts: str, by: str, value: str, size: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Counts and sums of event-time windows with late rows allowed."""
-    return df.withWatermark(ts, late).groupBy(F.window(ts, size), by).agg(F.count("*").alias("n"), F.round(F.sum(value), 6).alias("total")).select(F.col("window.start").alias("start"), by, "n", "total")
+    return df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).groupBy(F.window(ts, size), by).agg(F.count("*").alias("n"), F.round(F.sum(value), 6).alias("total")).select(F.col("window.start").alias("start"), by, "n", "total")
