@@ -13,6 +13,7 @@ from .exact_dedup import exact_dedup
 from .langid import identify_languages
 from .line_dedup import line_dedup
 from .packing import pack
+from .pieces import Pieces, decode, encode
 from .quality import rank_quality
 from .simhash import simhash_dedup
 from .topk import search
@@ -57,10 +58,16 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents"), length_col="n_chars")
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str, model: str = "/opt/tokenizers/piece_bpe_32k.model") -> DataFrame:
+    pieces = Pieces.load(model)
+    coded = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), pieces)
+    return decode(coded.drop("text"), pieces)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_pairwise_quality, op2_fuzzy_passages, op3_exact_dedup, op4_warc_revisits, op5_related_packing, op6_simhash_dedup,
-        op7_language_mixture, op8_topk_search, op9_line_dedup,
+        op7_language_mixture, op8_topk_search, op9_line_dedup, op10_sentencepiece,
     )
 }
