@@ -27,7 +27,7 @@ def model_answers(t: Tables) -> DataFrame:
     return out.select("doc_id", "text_out", "success", "error_message")
 
 
-@query("model_labels", "SELECT conv_id, turn, m AS model, string_split(trim(text), ' ')[1] AS text_out, round(-length(text) / 1000.0, 6) AS logprob, round(exp(-length(text) / 1000.0), 6) AS proba FROM conversations CROSS JOIN (SELECT unnest(['a', 'b']) AS m) WHERE text <> ''")
+@query("model_labels", r"SELECT conv_id, turn, m AS model, regexp_split_to_array(trim(text), '\s+')[1] AS text_out, round(-length(text) / 1000.0, 6) AS logprob, round(exp(-length(text) / 1000.0), 6) AS proba FROM conversations CROSS JOIN (SELECT unnest(['a', 'b']) AS m) WHERE text <> ''")
 def model_labels(t: Tables) -> DataFrame:
     s = M.ModelSettings(instructions=("first",))
     out = M.run_models(t.conversations.where("text <> ''"), "text", {"a": s, "b": s})
