@@ -7,7 +7,8 @@
    whose planes come from a sample. Each node finds its ``k`` nearest in its own cell,
    then asks every other cell that its ball reaches into; inside a cell the search
    goes block by block, nearest bounding boxes first, and stops at the ball. The
-   result is exact: the sample shapes the cells, not the answer.
+   result is exact: the sample shapes the cells, not the answer. Coordinates are rounded
+   to 8192ths, so that distances are whole numbers and come out alike in any order.
 3. Paths. In each cell, over the undirected edges inside it, a walk starts at the
    unvisited node of lowest degree (ties by node id), goes on to the nearest
    unvisited neighbour while there is one, and then starts again.
@@ -131,43 +132,67 @@ def _blocks(points: np.ndarray, size: int = BLOCK) -> list[np.ndarray]:
 
 
 def nearest(points: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int, within: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(squared distances, ids) of the k nearest points of each query by (distance, id), itself left out, within a bound; inf and 0 pad."""
+    """(squared distances, ids) of the k nearest points of each query by (distance, id), itself left out, within a bound; inf and 0 pad.
+
+    Coordinates are whole numbers, so products of blocks give exact distances. Of each block only what lies within
+    a query's k-th distance so far is looked at again.
+    """
     best = np.full((len(queries), k), np.inf)
     who = np.zeros((len(queries), k), np.int64)
     if not len(points):
         return best, who
     parts = _blocks(points)
-    lows, highs = np.array([points[p].min(axis=0) for p in parts]), np.array([points[p].max(axis=0) for p in parts])
+    own = [points[p] for p in parts]
+    lows, highs = np.array([x.min(axis=0) for x in own]), np.array([x.max(axis=0) for x in own])
+    squares = [(x * x).sum(axis=1) for x in own]
     for q in _blocks(queries):
-        gaps = _gap(queries[q].min(axis=0), queries[q].max(axis=0), lows, highs)
-        dist, near = np.full((len(q), k), np.inf), np.zeros((len(q), k), np.int64)
-        for b in np.argsort(gaps, kind="stable"):
-            reach = np.minimum(dist[:, -1], within[q])
+        at, names = queries[q], query_ids[q]
+        size = (at * at).sum(axis=1)
+        gaps = _gap(at.min(axis=0), at.max(axis=0), lows, highs)
+        reach = within[q].astype(float)
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def settle() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+            """The k best hits of every query so far, with their ranks; lowers ``reach``."""
+            row, d, i = (np.concatenate([h[x] for h in held]) if held else np.zeros(0) for x in range(3))
+            order = np.lexsort((i, d, row))
+            row, d, i = row[order].astype(np.int64), d[order], i[order].astype(np.int64)
+            rank = np.arange(len(row)) - np.searchsorted(row, row)
+            top = rank < k
+            row, d, i, rank = row[top], d[top], i[top], rank[top]
+            held[:] = [(row, d, i)]
+            last = rank == k - 1
+            reach[row[last]] = np.minimum(reach[row[last]], d[last])
+            return row, d, i, rank
+
+        for n, b in enumerate(np.argsort(gaps, kind="stable")):
             if gaps[b] > reach.max():
                 break
-            p = parts[b]
-            d = np.zeros((len(q), len(p)))
-            for x in range(DIMS):
-                step = queries[q, x][:, None] - points[p, x][None]
-                d += step * step
-            d[(query_ids[q][:, None] == ids[p][None]) | (d > reach[:, None])] = np.inf
-            if not np.isfinite(d).any():
+            off = np.maximum(0, np.maximum(lows[b] - at, at - highs[b]))
+            rows = np.flatnonzero((off * off).sum(axis=1) <= reach)
+            if not len(rows):
                 continue
-            all_d = np.concatenate([dist, d], axis=1)
-            all_i = np.concatenate([near, np.broadcast_to(ids[p], d.shape)], axis=1)
-            if all_d.shape[1] > 4 * k:  # a first cut; ties at the k-th distance stay in
-                edge = np.partition(all_d, k - 1, axis=1)[:, k - 1 : k]
-                width = int((all_d <= edge).sum(axis=1).max()) if np.isfinite(edge).all() else all_d.shape[1]
-                pick = np.argpartition(all_d, min(width, all_d.shape[1]) - 1, axis=1)[:, :width]
-                all_d, all_i = np.take_along_axis(all_d, pick, axis=1), np.take_along_axis(all_i, pick, axis=1)
-            order = np.lexsort((all_i, all_d), axis=1)[:, :k]
-            dist, near = np.take_along_axis(all_d, order, axis=1), np.take_along_axis(all_i, order, axis=1)
-        best[q], who[q] = dist, near
+            d = size[rows, None] + squares[b] - 2 * (at[rows] @ own[b].T)
+            d[names[rows][:, None] == ids[parts[b]][None]] = np.inf
+            far = ~np.isfinite(reach[rows])
+            if far.any() and d.shape[1] > k:
+                reach[rows[far]] = np.partition(d[far], k - 1, axis=1)[:, k - 1]
+            r, c = np.nonzero((d <= reach[rows, None]) & np.isfinite(d))
+            held.append((rows[r], d[r, c], ids[parts[b]][c]))
+            if far.any() or n % 4 == 3:
+                settle()
+        row, d, i, rank = settle()
+        best[q[row], rank], who[q[row], rank] = d, i
     return best, who
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, DIMS).astype(np.float64)
+    return _whole(b"".join(column.to_pylist()))
+
+
+def _whole(data: bytes) -> np.ndarray:
+    """Coordinates in 8192ths."""
+    return np.rint(np.frombuffer(data, np.float32).reshape(-1, DIMS).astype(np.float64) * 8192)
 
 
 _FOUND = pa.list_(pa.struct([("d", pa.float64()), ("nid", pa.int64())]))
@@ -283,7 +308,7 @@ def neighbour_graph(nodes: DataFrame, k: int = 8, cell_nodes: int = 16384) -> Da
 
 
 def _as_points(values) -> np.ndarray:
-    return np.frombuffer(b"".join(bytes(v) for v in values), np.float32).reshape(-1, DIMS).astype(np.float64)
+    return _whole(b"".join(bytes(v) for v in values))
 
 
 def document_nodes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
