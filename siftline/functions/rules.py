@@ -4,15 +4,15 @@ MOJIBAKE = [(bad, good) for good in "ëéèïö" for bad in [good.encode().decod
 MASK_DIGITS = [("[0-9]", "#"), ("[0-9]{2}", "##"), ("[0-9]{3,}", "###"), (r"\s{2,}", " ")]
 MASK_DIGITS_LONGEST = [("[0-9]{3,}", "###"), ("[0-9]{2}", "##"), ("[0-9]", "#"), (r"\s{2,}", " ")]
 URLS = [(r"(?:https?)?://(?:[0-9A-Za-z_./?=&%-]*[0-9A-Za-z_])?", "")]
-REFERENCES = [("<.*?>", ""), (r"\[.*?\]\(.*?\)", ""), (r"\[.*?\]", "")]
+REFERENCES = [("<[^\n]*?>", ""), (r"\[[^\n]*?\][(][^\n]*?[)]", ""), (r"\[[^\n]*?\]", "")]
 BULLET = chr(0xF0B7)
-LISTS = [(r"\n\* ", "\n- "), ("\n[•%s]" % BULLET, "\n-"), (r"\n\+ ", "\n- "), ("• ", "- "), (r"\* ", "- ")]
+LISTS = [("\n[*] ", "\n- "), ("\n[•%s]" % BULLET, "\n-"), (r"\n\+ ", "\n- "), ("• ", "- "), (r"\* ", "- ")]
 LISTS_PARITY = [*LISTS[:2], ("\no", "\n-"), *LISTS[2:]]
 GLYPHS = [("[◆•%s▪■□]" % BULLET, ""), (r"\*-", ""), ("\n>", "\n"), (r"\*\*", ""), (chr(0xFFFD), "")]
 PMC_TAGS = [(rf"(?s)<{t}[^>]*>.*?</{t}{end}>", "") for t, end in (("xref", ""), ("label", ""), ("mml", "[^>]*"))] + [("<[^>]+>", ""), (r"\s+", " ")]
 PARAGRAPH_TAGS = [(rf"<{t}[^>]*>.*?</{t}>", "") for t in ("ext-link", "xref")] + [("<[^>]+>", "")]
-XML_ENVELOPE = [(r"<\?xml[^><]+\?>", ""), (r"<!DOC[^><]+>\r?<PubmedArticleSet>", "<PubmedArticleSet>"), ("(?:</xml>){2,}", "</xml>"), (">>", ">")]
-RTF = [(r"\{\*?\\[^{}]+\}|[{}]|\\\n?[A-Za-z]+\n?(?:-?[0-9]+)? ?", "")]
+XML_ENVELOPE = [(r"<[?]xml[^<>]+[?]>", ""), (r"<!DOC[^<>]+>\r?(<PubmedArticleSet>)", "$1"), ("(?:</xml>){2,}", "</xml>"), (">>", ">")]
+RTF = [(r"\\[\n]?[a-zA-Z]+[\n]?(?:[0-9]+|-[0-9]+)? ?|\{[*]?\\[^{}]+\}|[{}]", "")]
 SUMMARY = [(r"(?i)\b(?:chapter|hoofdstuk|paragraaf|paragraph|samenvatting|summary)\b", ""), (r"\s{2,}", " "), ("\t", " "), (r"(?i)^\s*(?:appendices|appendix|dankwoord|dutch|english|engelse|nederlandse|publications|references)\b", "")]
 PAGE = [(r"([0-9]+)\n", ""), ("^[0-9]+", ""), (r"(?m)^[ \t]*[0-9]+[ \t]*$", ""), ("\n+", "\n"), (r"\n\s*\n", "\n"), (r"^\s*\n", ""), (r"\n\s*$", ""), (r"\s+", " ")]
 SQUEEZE_NONWORD = [(r"[^\p{L}\p{N}_]{3,}", " ")]
@@ -22,14 +22,15 @@ EMPTY_CITATIONS = [(r"\[,*\]", "")]
 LINE_BREAKS = [(r"[\r\n]{2,}|\r\n", "\n")]
 HEADING_NUMBERS = [(r"(?m)^[0-9]+(?:\.[0-9]+)*\s*", ""), (r"\[[0-9]+\]", "")]
 WIKI_TEMPLATES = [(r"(?m)^(?:\||\{\{|\}\}).*$", "")]
-REPEATS = [(r"\b(\w+)(?:\s+\1\b)+", "$1"), (r"(\W)\1+", "$1")]
+REPEATS = [(r"\b(\w+)(?:[\s]+\1(?!\w))+", "$1"), (r"(\W)\1+", "$1")]
 EMAIL = [(r"[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+(?:\.[\p{L}\p{N}_-]+)*\.[A-Za-z]{2,5}", "<EMAIL>")]
 
-DATES = [(r"[12][0-9]{3}[-/\\]?[0-9]{1,2}[-/\\]?[0-9]{1,2}", "[DATUM]"), (r"[0-9]{1,2}[-/\\]?[0-9]{1,2}[-/\\]?[12][0-9]{3}", "[DATUM]")]
+_SEP, _DAY, _YEAR = r"[-/\\]?", r"\d\d?", r"[12]\d\d\d"
+DATES = [(_SEP.join(parts), "[DATUM]") for parts in ((_YEAR, _DAY, _DAY), (_DAY, _DAY, _YEAR))]
 NUMBERS = [(r"[0-9]+\.[0-9]+", "[FLOAT]"), ("[0-9]+", "[INT]")]
 LINKS = [(r"(?i)https?://[A-z0-9./?=-]+|www\.[A-z0-9./?=-]+", "[URL]")]
 DOI = [(r"(?i)DOI\s[0-9./_-]+", "[DOI]")]
-PATIENT = [(r"(?i)(?:verwijzersnummer|verwijsnummer|pati[eë]ntnummer|patientnr|patnummer|patid|pat\.?num\.?)[\s:;]\s?[0-9]{5,12}", "[PATIENTNUMMER]")]
+PATIENT = [(r"(?i)(?:pat(?:id|nummer|ientnr|i[eë]ntnummer|\.?num\.?)|verwij(?:s|zers)nummer)[\s:;]\s?[0-9]{5,12}", "[PATIENTNUMMER]")]
 SIMPLE_TAGS = [(r"-[0-9]\]", "]")]
 #: Dutch numbers: mobile and ten-digit forms, area code forms, bracketed and international forms; never inside a tag.
 PHONES = [
@@ -49,6 +50,7 @@ def _placeholders() -> list[tuple[str, str]]:
     """Typed tags for ``[**...**]`` placeholders of clinical notes."""
     digits = "[0-9]{1,4}"
     few, odd = "[0-9]{0,5}", "[0,9]{0,5}"
+    two, upto4 = "[0-9]{1,2}", "[0-9]{0,4}"
     table = {
         "DATE": ["[0-9]{4,5}-[0-9]{1,2}-[0-9]{1,2}", rf"Month \(only\) {digits}"],
         "PATIENT_NAME": [rf"Name{digits} \(NameIs\)\s[0-9]{{0,4}}"],
@@ -57,12 +59,12 @@ def _placeholders() -> list[tuple[str, str]]:
         "FIRST_NAME": [rf"First Name{odd} \({kind}\)\s{tail}" for kind, tail in (("LF", ""), ("Titles", ""), (f"NamePattern{few}", ""), (f"NamePattern{few}", digits))],
         "LAST_NAME": [rf"Last Name{odd} \({kind}\)\s{tail}" for kind, tail in (("STitle", ""), ("Titles", ""), (f"NamePattern{few}", ""), (f"NamePattern{few}", digits))] + [f"Known lastname {odd}"],
         "DOCTOR_ID": [rf"MD Number\(?[0-9,]{{0,3}}\)? {digits}"],
-        "HOSPITAL": [f"Hospital[0-9]{{0,2}} {digits}", "Hospital[0-9]{0,2} ", r"Location \(un\) [0-9]{0,4}", f"Hospital Unit Name {digits}", f"Hospital Ward Name {digits}"],
+        "HOSPITAL": [f"Hospital[0-9]{{0,2}} {digits}", "Hospital[0-9]{0,2} ", rf"Location \(un\) {upto4}", f"Hospital Unit Name {digits}", f"Hospital Ward Name {digits}"],
         "DOCTOR_LAST_NAME": ["Doctor Last Name "],
         "DOCTOR_FIRST_NAME": ["Doctor First Name "],
         "DETAIL": ["[0-9]{1,2}-[0-9]{1,2}"],
         "MEAS_VALUE": ["[0-9]{1,5}"],
-        "PHONENUMBER": [r"Telephone/Fax \([0-9]{1,2}\) [0-9]{3,4}"],
+        "PHONENUMBER": [rf"Telephone/Fax \({two}\) {two}[0-9]{{2}}"],
         "ADDRESS": [rf"Apartment Address\([0-9]{{1,2}}\) {digits}"],
         "IDENTIFIER": [f"Numeric Identifier {digits}", "Job Number [0-9]{1,6}"],
     }
