@@ -40,6 +40,8 @@ from .arrays import U64, Words, as_strings, byte_view, grouped, slices
 from .common import col, durable, require
 
 DIMS, SKETCH, BLOCK = 8, 4096, 512
+#: Every task holds the boxes of all cells (128 bytes each); beyond a thousand million nodes cells grow instead.
+MAX_CELLS = 1 << 16
 _SPACE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
 
 
@@ -287,9 +289,9 @@ def neighbour_graph(nodes: DataFrame, k: int = 8, cell_nodes: int = 16384) -> Da
     """(cell, nid, found) with the k nearest of each node (nid, vec), nearest first, by (distance, nid); exact."""
     n = nodes.count()
     cells = 1
-    while cells * cell_nodes < n and cells < 4096:
+    while cells * cell_nodes < n and cells < MAX_CELLS:
         cells *= 2
-    sample = nodes.orderBy(F.xxhash64("nid"), "nid").limit(max(4096, 64 * cells)).select("vec").toPandas() if cells > 1 else None
+    sample = nodes.orderBy(F.xxhash64("nid"), "nid").limit(max(4096, 16 * cells)).select("vec").toPandas() if cells > 1 else None
     points = _as_points(sample["vec"]) if sample is not None else np.zeros((0, DIMS))
     tree = Tree(points, cells)
 
