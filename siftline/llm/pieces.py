@@ -16,8 +16,8 @@
    the most frequent segments (at most ``dictionary`` of them, read by each worker from the
    shared folder). Occurrences of other segments are joined to the table by a shuffle.
 
-Segments of more than ``LONG`` characters are encoded by the same fold in Python, which is
-linear in their length. Characters without a piece become byte pieces or the unknown piece.
+Segments of more than ``LONG`` characters are encoded where they stand by the same fold in
+Python, which is linear in their length. Characters without a piece become byte pieces or the unknown piece.
 
 Defined results
 ---------------
@@ -48,6 +48,8 @@ from .common import col, durable, fresh, require
 
 MARK, LONG, NEVER, SHIFT = "▁", 64, (1 << 24) - 1, 24
 MAX_BROADCAST_PIECES = 1_000_000
+#: Bytes of text that are cut into segments at a time.
+SLICE = 1 << 22
 
 
 @dataclass
@@ -154,7 +156,9 @@ def segments(texts: pa.Array, p: Pieces) -> tuple[pa.Array, np.ndarray]:
         texts = pc.if_else(pc.equal(texts, ""), "", pc.binary_join_element_wise(pa.scalar(" "), texts, ""))
     data, off = byte_view(texts)
     cut = np.zeros(len(data), bool)
-    cut[1:] = ~p.meets[data[:-1], data[1:]] & ((data[1:] & 0xC0) != 0x80)
+    for a in range(1, len(data), 1 << 19):  # indices take eight bytes a character
+        b = min(a + (1 << 19), len(data))
+        cut[a:b] = ~p.meets[data[a - 1 : b - 1], data[a:b]] & ((data[a:b] & 0xC0) != 0x80)
     cut[off[:-1][off[:-1] < off[1:]]] = True
     start = np.flatnonzero(cut)
     ends = np.append(start, len(data)).astype(np.int32)
@@ -274,13 +278,13 @@ def _fold_bpe(edges: Column, many: Column, right: Column, left: Column) -> Colum
     """The edge that is kept at each end, by end; index 0 is the empty beginning."""
 
     def step(kept: Column, b: Column) -> Column:
-        before = F.get(kept, b["s"])
+        at = b["s"]
 
         def crosses(x: Column) -> Column:
-            at = b["s"]
+            before = F.get(kept, at)
             return (
-                (x["s"] < at) & (x["e"] > at) & (x["s"] >= before["s"]) & (x["e"] <= b["e"])
-                & (x["r"] < F.get(right, before["o"] + at - x["s"] - 1)) & (x["r"] <= F.get(left, b["o"] + x["e"] - at - 1))
+                (x["s"] < at) & (x["e"] > at) & (x["e"] <= b["e"]) & (x["r"] <= F.get(left, b["o"] + x["e"] - at - 1))
+                & (x["s"] >= before["s"]) & (x["r"] < F.get(right, before["o"] + at - x["s"] - 1))
             )
 
         fits = (F.size(kept) == b["e"]) & ((b["s"] == 0) | ~F.exists(many, crosses))
@@ -303,26 +307,20 @@ def _fold_viterbi(edges: Column, scores: Column) -> Column:
 
 
 def encode_segments(words: DataFrame, p: Pieces) -> DataFrame:
-    """(segment, n, ids) of distinct segments (segment, n)."""
-
-    def long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = [encode_segment(x, p) for x in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32()))], ["segment", "n", "ids"])
-
-    short = edge_table(words.where(F.length("segment") <= LONG), p).select("segment", "n", fold_edges(p).alias("ids"))
-    return short.unionByName(words.where(F.length("segment") > LONG).mapInArrow(long, "segment string, n long, ids array<int>"))
+    """(segment, n, ids) of distinct segments (segment, n) of at most ``LONG`` characters."""
+    return edge_table(words, p).select("segment", "n", fold_edges(p).alias("ids"))
 
 
 def count_segments(docs: DataFrame, text_col: str, p: Pieces) -> DataFrame:
-    """(segment, n) over all texts."""
+    """(segment, n) of the segments of at most ``LONG`` characters over all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = as_strings(batch.column(0))
-            for a, b in slices(texts, 1 << 25, 1 << 20):
+            for a, b in slices(texts, SLICE, 1 << 20):
                 found = pc.value_counts(segments(texts.slice(a, b - a), p)[0])
-                yield pa.RecordBatch.from_arrays([found.field(0), found.field(1)], ["segment", "n"])
+                short = pc.less_equal(pc.utf8_length(found.field(0)), LONG)
+                yield pa.RecordBatch.from_arrays([found.field(0).filter(short), found.field(1).filter(short)], ["segment", "n"])
 
     rows = docs.where(col(text_col).isNotNull()).select(col(text_col)).mapInArrow(run, "segment string, n long")
     return rows.groupBy("segment").agg(F.sum("n").alias("n"))
@@ -334,19 +332,22 @@ def _held(path: str, least: int) -> tuple[pa.Array, pa.ListArray]:
     if getattr(cache, "path", None) != (path, least):
         fs, root = pafs.FileSystem.from_uri(path)
         files = [f.path for f in fs.get_file_info(pafs.FileSelector(root)) if f.path.endswith(".parquet")]
-        parts = [pq.read_table(f, filesystem=fs, columns=["segment", "ids"], filters=[("n", ">=", least)] if least > 1 else None) for f in files]
-        whole = pa.concat_tables(parts).combine_chunks()
-        cache.words = as_strings(whole.column("segment"))
-        ids = whole.column("ids")
-        ids = (ids.combine_chunks() if ids.num_chunks != 1 else ids.chunk(0)) if ids.num_chunks else pa.array([], pa.list_(pa.int32()))
-        cache.ids, cache.path = ids.cast(pa.list_(pa.int32())), (path, least)
+        words, ids = [pa.array([], pa.string())], [pa.array([], pa.list_(pa.int32()))]
+        for f in files:
+            part = pq.read_table(f, filesystem=fs, columns=["segment", "ids"], filters=[("n", ">=", least)] if least > 1 else None, use_threads=False)
+            words += part.column("segment").cast(pa.string()).chunks
+            ids += part.column("ids").cast(pa.list_(pa.int32())).chunks
+            del part
+        cache.words, cache.ids, cache.path = pa.concat_arrays(words), pa.concat_arrays(ids), (path, least)
+        del words, ids
+        pa.default_memory_pool().release_unused()
     return cache.words, cache.ids
 
 
-def encode(docs: DataFrame, pieces: Pieces, text_col: str = "text", dictionary: int = 4_000_000) -> DataFrame:
-    """``docs`` with ``ids``; see the module's text."""
+def encode(docs: DataFrame, pieces: Pieces, text_col: str = "text", dictionary: int = 4_000_000, decoded: str | None = None, keep_text: bool = True) -> DataFrame:
+    """``docs`` with ``ids``, and with their texts again in ``decoded`` if that is named; see the module's text."""
     require(docs, text_col)
-    ids_col, rare_col, row_col = fresh(docs, "ids", "rare", "row")
+    ids_col, rare_col, row_col, decoded = fresh(docs, "ids", "rare", "row", decoded or "") if decoded else (*fresh(docs, "ids", "rare", "row"), None)
     table = durable(encode_segments(count_segments(docs, text_col, pieces), pieces))
     path = table.inputFiles()[0].rpartition("/")[0] if table.inputFiles() else ""
     least, total = 1, table.count()
@@ -359,34 +360,44 @@ def encode(docs: DataFrame, pieces: Pieces, text_col: str = "text", dictionary:
             room, least = room - row["words"], row["n"]
         least = least or (1 << 62)
     at = docs.columns.index(text_col)
-    fields = [*docs.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType())), T.StructField(rare_col, T.ArrayType(T.StringType()))]
+    kept_at = [i for i, c in enumerate(docs.columns) if keep_text or c != text_col]
+    fields = [*[docs.schema.fields[i] for i in kept_at], T.StructField(ids_col, T.ArrayType(T.IntegerType())), T.StructField(rare_col, T.ArrayType(T.StringType()))]
+    fields += [T.StructField(decoded, T.StringType())] if decoded else []
     names = [f.name for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, lists = _held(path, least)
+        back = piece_bytes(pieces) if decoded else None
+        edges = lists.offsets.to_numpy()
+        flat, begin, size = lists.flatten().to_numpy(), edges[:-1] - edges[:1], np.diff(edges)
         for batch in batches:
             texts = as_strings(batch.column(at))
-            for a, b in slices(texts, 1 << 25, 1 << 20):
+            for a, b in slices(texts, SLICE, 1 << 20):
                 part, off = segments(texts.slice(a, b - a), pieces)
                 coded = part.dictionary_encode()
-                where = pc.fill_null(pc.index_in(coded.dictionary, value_set=words), -1).to_numpy().astype(np.int64)[coded.indices.to_numpy()]
-                seldom = np.flatnonzero(where < 0)
-                flat, size = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
-                begin = lists.offsets.to_numpy()[:-1] - (lists.offsets[0].as_py() if len(lists) else 0)
-                if not len(lists):
-                    flat, size, begin = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(1, np.int64)
-                n = np.where(where < 0, 1, size[where])
-                ends = np.append(0, np.cumsum(n))
-                pick = np.arange(ends[-1]) - np.repeat(ends[:-1], n) + np.repeat(begin[where], n)
-                put = np.zeros(0, np.int32) if not len(pick) else (flat[np.minimum(pick, max(len(flat) - 1, 0))] if len(flat) else np.zeros(len(pick), np.int32))
-                put = put.astype(np.int32)
-                owner = np.searchsorted(off, seldom, side="right") - 1
-                first = np.searchsorted(seldom, off[:-1])
-                put[ends[seldom]] = -1 - (np.arange(len(seldom)) - first[owner])
-                none = pc.is_null(batch.column(at).slice(a, b - a))
-                got = pa.ListArray.from_arrays(pa.array(ends[off], pa.int32()), pa.array(put, pa.int32()))
-                rare = pa.ListArray.from_arrays(pa.array(np.append(first, len(seldom)), pa.int32()), part.take(pa.array(seldom)))
-                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pc.if_else(none, pa.scalar(None, got.type), got), rare], names)
+                known = pc.fill_null(pc.index_in(coded.dictionary, value_set=words), -1).to_numpy().astype(np.int64)
+                extra, begin_of, size_of = [], np.where(known >= 0, begin[known], 0) if len(begin) else np.zeros(len(known), np.int64), np.where(known >= 0, size[known], 1) if len(size) else np.ones(len(known), np.int64)
+                for x in np.flatnonzero((known < 0) & (pc.utf8_length(coded.dictionary).to_numpy() > LONG)).tolist():
+                    ids = encode_segment(coded.dictionary[x].as_py(), pieces)
+                    known[x], begin_of[x], size_of[x] = 0, len(flat) + len(extra), len(ids)
+                    extra += ids
+                pool = np.concatenate([flat, np.array(extra or [0], np.int32)]) if extra or not len(flat) else flat
+                index = coded.indices.to_numpy()
+                for c, d in slices(texts.slice(a, b - a), SLICE // 8, 1 << 20):
+                    lo, hi = off[c], off[d]
+                    own = index[lo:hi]
+                    n = size_of[own]
+                    ends = np.append(0, np.cumsum(n, dtype=np.int64))
+                    put = pool[np.arange(ends[-1]) - np.repeat(ends[:-1] - begin_of[own], n)].astype(np.int32)
+                    seldom = np.flatnonzero(known[own] < 0)
+                    edge = off[c : d + 1] - lo
+                    first = np.searchsorted(seldom, edge)
+                    put[ends[seldom]] = -1 - (np.arange(len(seldom)) - first[np.searchsorted(edge, seldom, side="right") - 1])
+                    got = pa.ListArray.from_arrays(pa.array(ends[edge], pa.int32()), pa.array(put, pa.int32()))
+                    rare = pa.ListArray.from_arrays(pa.array(first, pa.int32()), part.take(pa.array(seldom + lo)))
+                    rows = batch.slice(a + c, d - c)
+                    got = pc.if_else(pc.is_null(rows.column(at)), pa.scalar(None, got.type), got)
+                    yield pa.RecordBatch.from_arrays([*[rows.column(i) for i in kept_at], got, rare, *([texts_of(got, back, pieces.prefix)] if back else [])], names)
 
     rows = docs.mapInArrow(run, T.StructType(fields))
     if total <= dictionary:
@@ -399,7 +410,37 @@ def encode(docs: DataFrame, pieces: Pieces, text_col: str = "text", dictionary:
     lists = found.groupBy(own).agg(F.transform(F.array_sort(F.collect_list(F.struct(pos, one))), lambda x: x[one]).alias("_lists"))
     mixed = kept.where(F.size(rare_col) > 0).join(lists, F.col(row_col) == F.col(own))
     spliced = F.flatten(F.transform(F.col(ids_col), lambda x: F.when(x >= 0, F.array(x)).otherwise(F.get(F.col("_lists"), -1 - x))))
-    return plain.unionByName(mixed.withColumn(ids_col, spliced).select(*[col(c) for c in plain.columns]))
+    mixed = mixed.withColumn(ids_col, spliced)
+    if decoded:
+        mixed = decode(mixed.select(*[col(c) for c in plain.columns if c != decoded]), pieces, ids_col, decoded)
+    return plain.unionByName(mixed.select(*[col(c) for c in plain.columns]))
+
+
+def piece_bytes(p: Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all ids one after another, and where each begins and how long it is."""
+    raw = [b""] * p.size
+    for text, i in zip(p.texts, p.ids):
+        raw[i] = text.encode()
+    for b, i in enumerate(p.byte_ids or []):
+        raw[i] = bytes([b])
+    if not p.byte_ids:
+        raw[p.unknown] = " ⁇ ".encode()
+    size = np.array([len(x) for x in raw])
+    return np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum(size))[:-1], size
+
+
+def texts_of(lists: pa.ListArray, table: tuple[np.ndarray, np.ndarray, np.ndarray], prefix: bool) -> pa.Array:
+    data, begin, size = table
+    counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
+    ids = pc.fill_null(lists.flatten(), -1).to_numpy(zero_copy_only=False)
+    fine = (ids >= 0) & (ids < len(size))
+    ids = np.where(fine, ids, 0)
+    n = np.where(fine, size[ids], 0)
+    ends = np.append(0, np.cumsum(n))
+    flat = data[np.arange(ends[-1]) + np.repeat(begin[ids] - ends[:-1], n)].tobytes()
+    edge = ends[np.append(0, np.cumsum(counts))].tolist()
+    whole = [flat[a:b].decode("utf-8", "replace") for a, b in zip(edge, edge[1:])]
+    return pa.array([None if not v else t[1:] if prefix and t[:1] == " " else t for v, t in zip(pc.is_valid(lists).to_pylist(), whole)], pa.string())
 
 
 def decode(rows: DataFrame, pieces: Pieces, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
@@ -407,31 +448,12 @@ def decode(rows: DataFrame, pieces: Pieces, ids_col: str = "ids", out: str = "de
     require(rows, ids_col)
     out = fresh(rows, out)[0]
     at, names = rows.columns.index(ids_col), [*rows.columns, out]
-    raw = [b""] * pieces.size
-    for text, i in zip(pieces.texts, pieces.ids):
-        raw[i] = text.encode()
-    for b, i in enumerate(pieces.byte_ids or []):
-        raw[i] = bytes([b])
-    if not pieces.byte_ids:
-        raw[pieces.unknown] = " ⁇ ".encode()
-    size = np.array([len(x) for x in raw])
-    begin = np.append(0, np.cumsum(size))[:-1]
-    data = np.frombuffer(b"".join(raw), np.uint8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = piece_bytes(pieces)
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                lists = part.column(at)
-                counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
-                ids = pc.fill_null(lists.flatten(), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-                fine = (ids >= 0) & (ids < len(size))
-                n = np.where(fine, size[np.where(fine, ids, 0)], 0)
-                ends = np.append(0, np.cumsum(n))
-                flat = data[np.arange(ends[-1]) - np.repeat(ends[:-1], n) + np.repeat(begin[np.where(fine, ids, 0)], n)].tobytes()
-                edge = ends[np.append(0, np.cumsum(counts))].tolist()
-                whole = [flat[a:b].decode("utf-8", "replace") for a, b in zip(edge, edge[1:])]
-                texts = [None if not v else t[1:] if pieces.prefix and t[:1] == " " else t for v, t in zip(pc.is_valid(lists).to_pylist(), whole)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names)
+                yield pa.RecordBatch.from_arrays([*part.columns, texts_of(part.column(at), table, pieces.prefix)], names)
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(out, T.StringType())]))

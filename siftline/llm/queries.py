@@ -13,7 +13,7 @@ from .exact_dedup import exact_dedup
 from .langid import identify_languages
 from .line_dedup import line_dedup
 from .packing import pack
-from .pieces import Pieces, decode, encode
+from .pieces import Pieces, encode
 from .quality import rank_quality
 from .simhash import simhash_dedup
 from .topk import search
@@ -59,9 +59,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str, model: str = "/opt/tokenizers/piece_bpe_32k.model") -> DataFrame:
-    pieces = Pieces.load(model)
-    coded = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), pieces)
-    return decode(coded.drop("text"), pieces)
+    return encode(table(spark, sf_dir, "documents").select("doc_id", "text"), Pieces.load(model), decoded="decoded", keep_text=False)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -40,6 +40,13 @@ def test_ids_are_the_librarys(spark, model, library, dictionary):
         assert r.decoded == (None if r.text is None else r.text.replace("▁", " "))
 
 
+@pytest.mark.parametrize("dictionary", [4_000_000, 40])
+def test_decoding_in_one_pass(spark, model, dictionary):
+    df = spark.createDataFrame(list(enumerate(texts())), "doc_id int, text string")
+    out = {r.doc_id: r for r in encode(df, model, dictionary=dictionary, decoded="doc_id", keep_text=False).collect()}
+    assert all(out[i]["_doc_id"] == (None if t is None else t.replace("▁", " ")) for i, t in enumerate(texts()))
+
+
 def test_empty_table(spark, model):
     assert decode(encode(spark.createDataFrame([], "text string"), model), model).count() == 0
 
