@@ -326,22 +326,28 @@ def count_segments(docs: DataFrame, text_col: str, p: Pieces) -> DataFrame:
     return rows.groupBy("segment").agg(F.sum("n").alias("n"))
 
 
-def _held(path: str, least: int) -> tuple[pa.Array, pa.ListArray]:
-    """The dictionary of a table in the shared folder, read once by each worker."""
+def _held(path: str, least: int, kind: type) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """(segments, ids one after another, where each begins, how many it has) of a table in the shared folder, read once by each worker, a file at a time."""
     cache = sys.modules.setdefault("_siftline_dictionaries", types.ModuleType("_siftline_dictionaries"))
-    if getattr(cache, "path", None) != (path, least):
+    if getattr(cache, "key", None) != (path, least):
+        cache.key = cache.held = None
         fs, root = pafs.FileSystem.from_uri(path)
         files = [f.path for f in fs.get_file_info(pafs.FileSelector(root)) if f.path.endswith(".parquet")]
-        words, ids = [pa.array([], pa.string())], [pa.array([], pa.list_(pa.int32()))]
+        words, flat, size = [pa.array([], pa.string())], [np.zeros(0, kind)], [np.zeros(0, np.int32)]
         for f in files:
             part = pq.read_table(f, filesystem=fs, columns=["segment", "ids"], filters=[("n", ">=", least)] if least > 1 else None, use_threads=False)
             words += part.column("segment").cast(pa.string()).chunks
-            ids += part.column("ids").cast(pa.list_(pa.int32())).chunks
+            for ids in part.column("ids").chunks:
+                flat.append(ids.flatten().to_numpy().astype(kind))
+                size.append(pc.list_value_length(ids).to_numpy().astype(np.int32))
             del part
-        cache.words, cache.ids, cache.path = pa.concat_arrays(words), pa.concat_arrays(ids), (path, least)
-        del words, ids
+        size = np.concatenate(size)
+        begin = (np.cumsum(size, dtype=np.int64) - size).astype(np.int32)
+        cache.held = (pa.concat_arrays(words), np.concatenate(flat), begin, size)
+        cache.key = (path, least)
+        del words, flat
         pa.default_memory_pool().release_unused()
-    return cache.words, cache.ids
+    return cache.held
 
 
 def encode(docs: DataFrame, pieces: Pieces, text_col: str = "text", dictionary: int = 4_000_000, decoded: str | None = None, keep_text: bool = True) -> DataFrame:
@@ -366,10 +372,9 @@ def encode(docs: DataFrame, pieces: Pieces, text_col: str = "text", dictionary:
     names = [f.name for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, lists = _held(path, least)
+        kind = np.uint16 if pieces.size < 1 << 16 else np.int32
+        words, flat, begin, size = _held(path, least, kind)
         back = piece_bytes(pieces) if decoded else None
-        edges = lists.offsets.to_numpy()
-        flat, begin, size = lists.flatten().to_numpy(), edges[:-1] - edges[:1], np.diff(edges)
         for batch in batches:
             texts = as_strings(batch.column(at))
             for a, b in slices(texts, SLICE, 1 << 20):
@@ -381,7 +386,7 @@ def encode(docs: DataFrame, pieces: Pieces, text_col: str = "text", dictionary:
                     ids = encode_segment(coded.dictionary[x].as_py(), pieces)
                     known[x], begin_of[x], size_of[x] = 0, len(flat) + len(extra), len(ids)
                     extra += ids
-                pool = np.concatenate([flat, np.array(extra or [0], np.int32)]) if extra or not len(flat) else flat
+                pool = np.concatenate([flat, np.array(extra or [0], kind)]) if extra or not len(flat) else flat
                 index = coded.indices.to_numpy()
                 for c, d in slices(texts.slice(a, b - a), SLICE // 8, 1 << 20):
                     lo, hi = off[c], off[d]
