@@ -182,6 +182,17 @@ def test_planted_passages_are_found_and_removed(make):
     assert all(len(left[d].split()) <= 132 for d in planted) and all(left[d] == t for d, t in rows if d not in planted)
 
 
+def test_chains_that_fail_as_a_whole_are_reported_in_parts(make):
+    rng = random.Random(41)
+    p1, p2, own = words(rng, 60), words(rng, 60), lambda n: words(rng, n)
+    docs = make([(0, " ".join(own(40) + p1 + own(100) + p2 + own(40))), (1, " ".join(own(40) + p1 + p2 + own(40)))])
+    got = sorted((r.word_start, r.word_end, r.other_word_start, r.other_word_end) for r in chaining.repeated_passages(docs).collect())
+    assert got == [(40, 100, 40, 100), (100, 160, 200, 260)]
+    hit = np.array([True] * 60 + [False] * 30 + [True] * 55 + [False] * 20 + [True] * 10)
+    place = np.arange(len(hit))
+    assert sorted(chaining.stretches(place, place + 7, hit, 50, 0.8)) == [(0, 60, 7, 67, 60), (90, 145, 97, 152, 55)]
+
+
 def test_chaining_odd_rows(odd, empty):
     assert chaining.repeated_passages(empty).count() == 0
     out = chaining.remove_passages(odd, chaining.repeated_passages(odd))
