@@ -193,6 +193,22 @@ def test_chains_that_fail_as_a_whole_are_reported_in_parts(make):
     assert sorted(chaining.stretches(place, place + 7, hit, 50, 0.8)) == [(0, 60, 7, 67, 60), (90, 145, 97, 152, 55)]
 
 
+def test_short_fuzzy_passages_are_found(make):
+    rng, rows, kind = random.Random(42), [], {}
+    for n, size in enumerate((55, 60, 80)):
+        for share in (0.8, 0.85, 0.9, 0.95, 1.0):
+            for _ in range(40):
+                passage = words(rng, size)
+                edited = list(passage)
+                for at in rng.sample(range(size), int(size * (1 - share) + 1e-9)):
+                    edited[at] += "q"
+                kind[len(rows) + 1] = (size, share)
+                rows += [(len(rows) + x, " ".join(words(rng, 40) + p + words(rng, 40))) for x, p in enumerate((passage, edited))]
+    found = {r.id for r in chaining.repeated_passages(make(rows)).collect()}
+    recall = {c: sum(i in found for i, x in kind.items() if x == c) / 40 for c in kind.values()}
+    assert found <= set(kind) and all(r >= (0.9 if c != (55, 0.8) else 0.75) for c, r in recall.items()), recall
+
+
 def test_chaining_odd_rows(odd, empty):
     assert chaining.repeated_passages(empty).count() == 0
     out = chaining.remove_passages(odd, chaining.repeated_passages(odd))
