@@ -209,6 +209,77 @@ def test_short_fuzzy_passages_are_found(make):
     assert found <= set(kind) and all(r >= (0.9 if c != (55, 0.8) else 0.75) for c, r in recall.items()), recall
 
 
+def test_pieces_elsewhere_hide_no_passage(make):
+    rng = random.Random(43)
+    passage, rows = words(rng, 120), []
+    piece = lambda: [(len(rows) + n, " ".join(words(rng, 30) + passage[4 * n : 4 * n + 24] + words(rng, 30))) for n in range(25)]
+    rows += piece()
+    one = len(rows)
+    rows.append((one, " ".join(words(rng, 30) + passage + words(rng, 30))))
+    rows += piece()
+    two = len(rows)
+    rows.append((two, " ".join(words(rng, 30) + passage + words(rng, 30))))
+    found = [r for r in chaining.repeated_passages(make(rows)).collect()]
+    assert [(r.id, r.other_id, r.word_start, r.word_end) for r in found] == [(two, one, 30, 150)]
+
+
+def test_verbatim_passages_equal_all_pairs(make):
+    """Documents patched together from stretches of a few texts: words that lie in 50 words which an earlier document has are reported, but for a few at ends, and hardly others."""
+    rng = random.Random(44)
+    base = [words(rng, 400) for _ in range(6)]
+    rows = []
+    for d in range(80):
+        own: list = []
+        for _ in range(rng.randint(1, 3)):
+            own += words(rng, rng.randint(5, 40))
+            text, n = rng.choice(base), rng.choice([20, 30, 45, 60, 90, 150])
+            at = rng.randint(0, 400 - n)
+            own += text[at : at + n]
+        rows.append((d, " ".join(own)))
+    split = [t.split() for _, t in rows]
+    seen, want = set(), set()
+    for d, ws in enumerate(split):
+        grams = [tuple(ws[i : i + 50]) for i in range(len(ws) - 49)]
+        want |= {(d, i + x) for i, g in enumerate(grams) if g in seen for x in range(50)}
+        seen |= set(grams)
+    got = {(r.id, w) for r in chaining.repeated_passages(make(rows), min_identity=0.95).collect() for w in range(r.word_start, r.word_end)}
+    assert len(want) > 3000 and len(want - got) < 0.002 * len(want) and {d for d, _ in want} <= {d for d, _ in got} and len(got - want) < 0.1 * len(want)
+
+
+def test_one_id_with_two_texts_and_repeated_rows(make):
+    rng = random.Random(45)
+    passage = words(rng, 70)
+    texts = [" ".join(words(rng, 20) + passage + words(rng, 20)) for _ in range(3)]
+    docs = make([(1, texts[0]), (1, texts[0]), (2, texts[1]), (2, texts[2]), (2, texts[2])])
+    left = chaining.remove_passages(docs, chaining.repeated_passages(docs)).collect()
+    assert len(left) == 5 and Counter(len(r.text.split()) for r in left if r.doc_id == 1) == {110: 2}
+    assert all(len(r.text.split()) == 40 for r in left if r.doc_id == 2)
+
+
+def test_contexts_and_their_filter():
+    text = pa.array(["a b c d e f g h", " ".join(f"w{i}" for i in range(100)), ""])
+    ws = chaining.Words(text)
+    at = np.array([0, 3, 8, 40, 102])
+    got = chaining.contexts(ws, at, 2)
+    bit = ((ws.hash >> np.uint64(20)) & np.uint64(1)).tolist()
+    for p, c in zip(at.tolist(), got.tolist()):
+        a, b = (0, 8) if p < 8 else (8, 108)
+        behind = sum(bit[p + 2 + j] << j for j in range(32) if p + 2 + j < b)
+        before = sum(bit[p - 1 - j] << (31 - j) for j in range(32) if p - 1 - j >= a)
+        assert c == behind | before << 32
+    rng = np.random.default_rng(46)
+    one = rng.integers(0, 2**63, 3000, dtype=np.uint64) * np.uint64(2)
+    two = one.copy()
+    for n in range(3000):
+        x = int(rng.integers(0, 45))  # 44 words around a seed, a fifth of 50 differ
+        bits = [32 + 31 - j for j in range(x)][:32] + list(range(min(32, 44 - x)))
+        for b in rng.permutation(np.arange(44))[:10]:
+            if b < len(bits) and rng.random() < 0.5:
+                two[n] ^= np.uint64(1) << np.uint64(bits[b])
+    assert chaining.alike(one, two).mean() > 0.99
+    assert chaining.alike(one, rng.permutation(one)).mean() < 0.04
+
+
 def test_chaining_odd_rows(odd, empty):
     assert chaining.repeated_passages(empty).count() == 0
     out = chaining.remove_passages(odd, chaining.repeated_passages(odd))
