@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from siftline.llm.chaining import remove_passages, repeated_passages
-from siftline.llm.common import col, durable, fresh, table
+from siftline.llm.common import col, durable, forget, fresh, mark, table
 from siftline.llm.langid import identify_languages
 from siftline.llm.line_dedup import line_dedup
 from siftline.llm.packing import pack
@@ -61,5 +61,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is written as Parquet and read again by the next."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
+        before = mark()
         docs = durable(stage(spark, docs, sf_dir))
+        forget(spark, before, keep=1)  # what the stage wrote on its way
     return STAGES[-1][1](spark, docs, sf_dir)

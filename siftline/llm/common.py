@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,36 +33,69 @@ def require(df: DataFrame, *names: str) -> None:
         raise ValueError(f"missing columns {missing}; there are {df.columns}")
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme and host of its Hadoop file system; a bare path lies on the default one."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir; one of our own where that is unset and all run on this machine."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             path = held.get()
-        else:
+        elif spark.sparkContext.master.split("[")[0] == "local":
             path = tempfile.mkdtemp(prefix="siftline-")
             spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return qualified(spark, path).rstrip("/")
+
+
+def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
+    """pyarrow's file system and path for a qualified Hadoop path, for use in workers."""
+    scheme, _, rest = uri.partition(":")
+    if scheme in ("s3a", "s3n"):
+        uri = f"s3:{rest}"
+    elif scheme == "dbfs":
+        return pafs.LocalFileSystem(), f"/dbfs/{rest.lstrip('/')}"
+    elif scheme == "file":
+        return pafs.LocalFileSystem(), "/" + rest.lstrip("/")
+    return pafs.FileSystem.from_uri(uri)
 
 
 _made: list[str] = []
 
 
+def made(path: str) -> str:
+    """Note a folder for ``forget``."""
+    _made.append(path)
+    return path
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there and no executor's loss undoes it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    path = made(f"{shared_dir(spark)}/table-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    _made.append(path)
+    spark.sparkContext._jvm.System.gc()  # the shuffle files that led here go when the driver collects their handles
     return spark.read.schema(df.schema).parquet(path)
 
 
-def forget(spark: SparkSession) -> None:
-    """Delete the tables that ``durable`` wrote; call it when their results have been stored."""
+def mark() -> int:
+    """The number of folders noted so far."""
+    return len(_made)
+
+
+def forget(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Delete the folders noted since a ``mark``, but for the last ``keep``; call it when what was made of them has been stored."""
     jvm = spark.sparkContext._jvm
-    while _made:
-        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+    gone = _made[since : len(_made) - keep]
+    del _made[since : len(_made) - keep]
+    for name in gone:
+        path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 

@@ -2,7 +2,7 @@
 
 1. Segments. A text, with blanks for the piece mark and one put in front, is cut wherever
    no piece holds the two characters that meet; no piece can span such a cut, so segments
-   are encoded alone. Equal segments are counted over the corpus and encoded once.
+   are encoded alone. Every input partition lists its distinct segments.
 2. Lattice. The bounded-length substrings of every distinct segment are exploded and
    equi-joined to the piece table, whose size is the model's and checked; the edges that
    result are grouped by segment, which needs no second shuffle.
@@ -12,12 +12,15 @@
    piece across their boundary would have been merged while both of its parts were still
    whole, which the pieces' outer parts and the ranks at which these are merged away tell.
    The ids are those of the reference library, not those of a best sum over ranks.
-4. Documents. Ids are put in where the texts are, without a shuffle, from a dictionary of
-   the most frequent segments (at most ``dictionary`` of them, read by each worker from the
-   shared folder). Occurrences of other segments are joined to the table by a shuffle.
+4. Documents. The encoded segments are joined to the partitions' lists and written to the
+   shared folder by partition. The texts are read again and never shuffled; a task reads
+   the ids of its own partition's segments, which are as many as its input holds, however
+   large the corpus. Should a partition's rows have changed between the two readings, the
+   segments that its list lacks are folded in place, so the ids are right in any case.
 
-Segments of more than ``LONG`` characters are encoded where they stand by the same fold in
-Python, which is linear in their length. Characters without a piece become byte pieces or the unknown piece.
+The copying that ``aggregate`` does is quadratic in a segment's length, so distinct segments
+of more than ``LONG`` characters are folded in Python, each once, which is linear.
+Characters without a piece become byte pieces or the unknown piece.
 
 Defined results
 ---------------
@@ -29,8 +32,7 @@ Defined results
 
 from __future__ import annotations
 
-import sys
-import types
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,17 +41,18 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrays import as_strings, byte_view, slices
-from .common import col, durable, fresh, require
+from .common import col, durable, file_system, fresh, made, require, shared_dir
 
-MARK, LONG, NEVER, SHIFT = "▁", 64, (1 << 24) - 1, 24
-MAX_BROADCAST_PIECES = 1_000_000
-#: Bytes of text that are cut into segments at a time.
-SLICE = 1 << 22
+MARK, LONG, NEVER, SHIFT = "▁", 128, (1 << 24) - 1, 24
+MAX_BROADCAST_PIECES, SIZES = 1_000_000, 127
+#: Bytes of text that are cut into segments at a time; distinct segments that a task holds before it passes them on.
+SLICE, HELD = 1 << 22, 1 << 20
 
 
 @dataclass
@@ -216,17 +219,18 @@ def _constant(values: list, kind: str) -> Column:
 
 
 def edge_table(words: DataFrame, p: Pieces) -> DataFrame:
-    """(segment, n, edges): the lattice of every segment (segment, n) as packed numbers that sort by end, then start."""
+    """(segment, edges): the lattice of every distinct segment as packed numbers that sort by end, then start."""
     spark = words.sparkSession
-    if len(p.texts) > MAX_BROADCAST_PIECES:
-        raise ValueError(f"{len(p.texts)} pieces are too many to broadcast")
+    if len(p.texts) > MAX_BROADCAST_PIECES or p.longest > SIZES:
+        raise ValueError(f"{len(p.texts)} pieces of up to {p.longest} characters are too many or too long")
     table = spark.createDataFrame(pa.table({"piece": pa.array(p.texts), "row": pa.array(range(len(p.texts)), pa.int32())}).to_pandas(), "piece string, row int")
-    starts = words.select("segment", "n", F.length("segment").alias("size"), F.explode(F.sequence(F.lit(0), F.length("segment") - 1)).alias("s"))
-    subs = starts.select("segment", "n", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(p.longest), F.col("size") - F.col("s")))).alias("k"))
-    subs = subs.select("segment", "n", "s", "k", F.expr("substring(segment, s + 1, k)").alias("piece"))
+    starts = words.select("segment", F.length("segment").alias("size"), F.explode(F.sequence(F.lit(0), F.length("segment") - 1)).alias("s"))
+    subs = starts.select("segment", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(p.longest), F.col("size") - F.col("s")))).alias("k"))
+    subs = subs.select("segment", "s", "k", F.expr("substring(segment, s + 1, k)").alias("piece"))
     hits = subs.join(F.broadcast(table), "piece", "left").where("row IS NOT NULL OR k = 1")
-    packed = F.shiftleft((F.col("s") + F.col("k")).cast("long"), 2 * SHIFT + 7) + F.shiftleft(F.col("s").cast("long"), 2 * SHIFT) + F.coalesce("row", F.lit(len(p.texts))).cast("long")
-    return hits.groupBy("segment").agg(F.first("n").alias("n"), F.collect_list(packed).alias("edges"))
+    end, back = (F.col("s") + F.col("k")).cast("long"), (SIZES - F.col("k")).cast("long")
+    packed = F.shiftleft(end, SHIFT + 7) + F.shiftleft(back, SHIFT) + F.coalesce("row", F.lit(len(p.texts))).cast("long")
+    return hits.groupBy("segment").agg(F.collect_list(packed).alias("edges"))
 
 
 def fold_edges(p: Pieces) -> Column:
@@ -235,7 +239,8 @@ def fold_edges(p: Pieces) -> Column:
 
     def unpack(x: Column) -> Column:
         row = x.bitwiseAND(F.lit(NEVER)).cast("int")
-        e, s = F.shiftright(x, 2 * SHIFT + 7).cast("int"), F.shiftright(x, 2 * SHIFT).bitwiseAND(F.lit(127)).cast("int")
+        e = F.shiftright(x, SHIFT + 7).cast("int")
+        s = e - SIZES + F.shiftright(x, SHIFT).bitwiseAND(F.lit(SIZES)).cast("int")
         return F.struct(e.alias("e"), s.alias("s"), row.alias("row"), F.get(rank, row).alias("r"), F.get(offset, row).alias("o"))
 
     def path(edges: Column) -> Column:
@@ -307,73 +312,77 @@ def _fold_viterbi(edges: Column, scores: Column) -> Column:
 
 
 def encode_segments(words: DataFrame, p: Pieces) -> DataFrame:
-    """(segment, n, ids) of distinct segments (segment, n) of at most ``LONG`` characters."""
-    return edge_table(words, p).select("segment", "n", fold_edges(p).alias("ids"))
+    """(segment, ids) of distinct segments."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in range(batch.num_rows):
+                one = batch.column(0).slice(x, 1)
+                yield pa.RecordBatch.from_arrays([one, pa.array([encode_segment(one[0].as_py(), p)], pa.list_(pa.int32()))], ["segment", "ids"])
+
+    short = edge_table(words.where(F.length("segment") <= LONG), p).select("segment", fold_edges(p).alias("ids"))
+    return short.unionByName(words.where(F.length("segment") > LONG).mapInArrow(run, "segment string, ids array<int>"))
 
-def count_segments(docs: DataFrame, text_col: str, p: Pieces) -> DataFrame:
-    """(segment, n) of the segments of at most ``LONG`` characters over all texts."""
+
+def part_segments(docs: DataFrame, text_col: str, p: Pieces) -> DataFrame:
+    """(part, segment): the distinct segments of every input partition. What a task holds is bounded; a partition with very many segments may list one twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+
+        def rows(found: pa.Array) -> Iterator[pa.RecordBatch]:
+            for x in range(0, len(found), 1 << 16):
+                some = found.slice(x, 1 << 16)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), part, np.int32)), some], ["part", "segment"])
+
+        held = [pa.array([], pa.string())]
         for batch in batches:
             texts = as_strings(batch.column(0))
             for a, b in slices(texts, SLICE, 1 << 20):
-                found = pc.value_counts(segments(texts.slice(a, b - a), p)[0])
-                short = pc.less_equal(pc.utf8_length(found.field(0)), LONG)
-                yield pa.RecordBatch.from_arrays([found.field(0).filter(short), found.field(1).filter(short)], ["segment", "n"])
-
-    rows = docs.where(col(text_col).isNotNull()).select(col(text_col)).mapInArrow(run, "segment string, n long")
-    return rows.groupBy("segment").agg(F.sum("n").alias("n"))
-
-
-def _held(path: str, least: int, kind: type) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
-    """(segments, ids one after another, where each begins, how many it has) of a table in the shared folder, read once by each worker, a file at a time."""
-    cache = sys.modules.setdefault("_siftline_dictionaries", types.ModuleType("_siftline_dictionaries"))
-    if getattr(cache, "key", None) != (path, least):
-        cache.key = cache.held = None
-        fs, root = pafs.FileSystem.from_uri(path)
-        files = [f.path for f in fs.get_file_info(pafs.FileSelector(root)) if f.path.endswith(".parquet")]
-        words, flat, size = [pa.array([], pa.string())], [np.zeros(0, kind)], [np.zeros(0, np.int32)]
-        for f in files:
-            part = pq.read_table(f, filesystem=fs, columns=["segment", "ids"], filters=[("n", ">=", least)] if least > 1 else None, use_threads=False)
+                held.append(pc.unique(segments(texts.slice(a, b - a), p)[0]))
+                if sum(map(len, held)) > HELD:
+                    held = [pc.unique(pa.concat_arrays(held))]
+                    if len(held[0]) > HELD // 2:
+                        yield from rows(held[0])
+                        held = [held[0].slice(0, 0)]
+        yield from rows(pc.unique(pa.concat_arrays(held)))
+
+    return docs.where(col(text_col).isNotNull()).select(col(text_col)).mapInArrow(run, "part int, segment string")
+
+
+def _own_ids(folder: str, kind: type) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """(segments, ids one after another, where each begins, how many it has) of one partition's folder; nothing if there is none."""
+    fs, root = file_system(folder)
+    words, flat, size = [pa.array([], pa.string())], [np.zeros(0, kind)], [np.zeros(0, np.int64)]
+    for f in fs.get_file_info(pafs.FileSelector(root, allow_not_found=True)):
+        if f.path.endswith(".parquet"):
+            with fs.open_input_file(f.path) as opened:
+                part = pq.ParquetFile(opened).read(["segment", "ids"], use_threads=False)
             words += part.column("segment").cast(pa.string()).chunks
             for ids in part.column("ids").chunks:
                 flat.append(ids.flatten().to_numpy().astype(kind))
-                size.append(pc.list_value_length(ids).to_numpy().astype(np.int32))
-            del part
-        size = np.concatenate(size)
-        begin = (np.cumsum(size, dtype=np.int64) - size).astype(np.int32)
-        cache.held = (pa.concat_arrays(words), np.concatenate(flat), begin, size)
-        cache.key = (path, least)
-        del words, flat
-        pa.default_memory_pool().release_unused()
-    return cache.held
-
-
-def encode(docs: DataFrame, pieces: Pieces, text_col: str = "text", dictionary: int = 4_000_000, decoded: str | None = None, keep_text: bool = True) -> DataFrame:
+                size.append(pc.list_value_length(ids).to_numpy().astype(np.int64))
+    size = np.concatenate(size)
+    return pa.concat_arrays(words), np.concatenate(flat), np.cumsum(size) - size, size
+
+
+def encode(docs: DataFrame, pieces: Pieces, text_col: str = "text", decoded: str | None = None, keep_text: bool = True) -> DataFrame:
     """``docs`` with ``ids``, and with their texts again in ``decoded`` if that is named; see the module's text."""
     require(docs, text_col)
-    ids_col, rare_col, row_col, decoded = fresh(docs, "ids", "rare", "row", decoded or "") if decoded else (*fresh(docs, "ids", "rare", "row"), None)
-    table = durable(encode_segments(count_segments(docs, text_col, pieces), pieces))
-    path = table.inputFiles()[0].rpartition("/")[0] if table.inputFiles() else ""
-    least, total = 1, table.count()
-    if total > dictionary:  # the least count whose segments, with all more frequent ones, fit
-        tally = table.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n"))
-        room, least = dictionary, None
-        for row in tally.toLocalIterator():
-            if row["words"] > room:
-                break
-            room, least = room - row["words"], row["n"]
-        least = least or (1 << 62)
+    ids_col, decoded = fresh(docs, "ids", decoded) if decoded else (*fresh(docs, "ids"), None)
+    pairs = durable(part_segments(docs, text_col, pieces))
+    table = encode_segments(pairs.select("segment").distinct(), pieces)
+    path = made(f"{shared_dir(docs.sparkSession)}/pieces-{uuid.uuid4().hex}")
+    pairs.join(table, "segment").repartition("part").write.partitionBy("part").parquet(path)
     at = docs.columns.index(text_col)
     kept_at = [i for i, c in enumerate(docs.columns) if keep_text or c != text_col]
-    fields = [*[docs.schema.fields[i] for i in kept_at], T.StructField(ids_col, T.ArrayType(T.IntegerType())), T.StructField(rare_col, T.ArrayType(T.StringType()))]
+    fields = [*[docs.schema.fields[i] for i in kept_at], T.StructField(ids_col, T.ArrayType(T.IntegerType()))]
     fields += [T.StructField(decoded, T.StringType())] if decoded else []
     names = [f.name for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = np.uint16 if pieces.size < 1 << 16 else np.int32
-        words, flat, begin, size = _held(path, least, kind)
+        words, flat, begin, size = _own_ids(f"{path}/part={TaskContext.get().partitionId()}", kind)
         back = piece_bytes(pieces) if decoded else None
         for batch in batches:
             texts = as_strings(batch.column(at))
@@ -381,44 +390,27 @@ def encode(docs: DataFrame, pieces: Pieces, text_col: str = "text", dictionary:
                 part, off = segments(texts.slice(a, b - a), pieces)
                 coded = part.dictionary_encode()
                 known = pc.fill_null(pc.index_in(coded.dictionary, value_set=words), -1).to_numpy().astype(np.int64)
-                extra, begin_of, size_of = [], np.where(known >= 0, begin[known], 0) if len(begin) else np.zeros(len(known), np.int64), np.where(known >= 0, size[known], 1) if len(size) else np.ones(len(known), np.int64)
-                for x in np.flatnonzero((known < 0) & (pc.utf8_length(coded.dictionary).to_numpy() > LONG)).tolist():
-                    ids = encode_segment(coded.dictionary[x].as_py(), pieces)
-                    known[x], begin_of[x], size_of[x] = 0, len(flat) + len(extra), len(ids)
-                    extra += ids
-                pool = np.concatenate([flat, np.array(extra or [0], kind)]) if extra or not len(flat) else flat
+                new = np.flatnonzero(known < 0)
+                own_begin, own_size = np.zeros(len(known), np.int64), np.zeros(len(known), np.int64)
+                own_begin[known >= 0], own_size[known >= 0] = begin[known[known >= 0]], size[known[known >= 0]]
+                pool = flat
+                if len(new):
+                    extra = [encode_segment(w, pieces) for w in coded.dictionary.take(pa.array(new)).to_pylist()]
+                    own_size[new] = [len(x) for x in extra]
+                    own_begin[new] = len(flat) + np.cumsum(own_size[new]) - own_size[new]
+                    pool = np.concatenate([flat, np.array([i for x in extra for i in x], kind)])
                 index = coded.indices.to_numpy()
                 for c, d in slices(texts.slice(a, b - a), SLICE // 8, 1 << 20):
-                    lo, hi = off[c], off[d]
-                    own = index[lo:hi]
-                    n = size_of[own]
-                    ends = np.append(0, np.cumsum(n, dtype=np.int64))
-                    put = pool[np.arange(ends[-1]) - np.repeat(ends[:-1] - begin_of[own], n)].astype(np.int32)
-                    seldom = np.flatnonzero(known[own] < 0)
-                    edge = off[c : d + 1] - lo
-                    first = np.searchsorted(seldom, edge)
-                    put[ends[seldom]] = -1 - (np.arange(len(seldom)) - first[np.searchsorted(edge, seldom, side="right") - 1])
-                    got = pa.ListArray.from_arrays(pa.array(ends[edge], pa.int32()), pa.array(put, pa.int32()))
-                    rare = pa.ListArray.from_arrays(pa.array(first, pa.int32()), part.take(pa.array(seldom + lo)))
+                    own = index[off[c] : off[d]]
+                    n = own_size[own]
+                    ends = np.append(0, np.cumsum(n))
+                    put = pool[np.arange(ends[-1]) - np.repeat(ends[:-1] - own_begin[own], n)].astype(np.int32)
+                    got = pa.ListArray.from_arrays(pa.array(ends[off[c : d + 1] - off[c]], pa.int32()), pa.array(put, pa.int32()))
                     rows = batch.slice(a + c, d - c)
                     got = pc.if_else(pc.is_null(rows.column(at)), pa.scalar(None, got.type), got)
-                    yield pa.RecordBatch.from_arrays([*[rows.column(i) for i in kept_at], got, rare, *([texts_of(got, back, pieces.prefix)] if back else [])], names)
-
-    rows = docs.mapInArrow(run, T.StructType(fields))
-    if total <= dictionary:
-        return rows.drop(rare_col)
-    kept = durable(rows.withColumn(row_col, F.monotonically_increasing_id()))
-    plain = kept.where(F.size(rare_col) == 0).drop(rare_col, row_col)
-    word, pos, one, own = "_segment", "_pos", "_one", "_own"
-    asked = kept.where(F.size(rare_col) > 0).select(F.col(row_col).alias(own), F.posexplode(rare_col).alias(pos, word))
-    found = asked.join(table.select(F.col("segment").alias(word), F.col("ids").alias(one)), word)
-    lists = found.groupBy(own).agg(F.transform(F.array_sort(F.collect_list(F.struct(pos, one))), lambda x: x[one]).alias("_lists"))
-    mixed = kept.where(F.size(rare_col) > 0).join(lists, F.col(row_col) == F.col(own))
-    spliced = F.flatten(F.transform(F.col(ids_col), lambda x: F.when(x >= 0, F.array(x)).otherwise(F.get(F.col("_lists"), -1 - x))))
-    mixed = mixed.withColumn(ids_col, spliced)
-    if decoded:
-        mixed = decode(mixed.select(*[col(c) for c in plain.columns if c != decoded]), pieces, ids_col, decoded)
-    return plain.unionByName(mixed.select(*[col(c) for c in plain.columns]))
+                    yield pa.RecordBatch.from_arrays([*[rows.column(i) for i in kept_at], got, *([texts_of(got, back, pieces.prefix)] if back else [])], names)
+
+    return docs.mapInArrow(run, T.StructType(fields))
 
 
 def piece_bytes(p: Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

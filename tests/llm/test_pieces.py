@@ -28,25 +28,50 @@ def texts():
     return ["", None, " ", "x" * 300, "a▁b", "\x00�\U0001f600", "b" + "ac" * 5000] + ["".join(rng.choice(a) for _ in range(rng.randint(1, 70))) for a in alphabets for _ in range(60)]
 
 
-@pytest.mark.parametrize("dictionary", [4_000_000, 40])
-def test_ids_are_the_librarys(spark, model, library, dictionary):
+def test_ids_are_the_librarys(spark, model, library):
     rows = [(i, t, "x") for i, t in enumerate(texts())]
     rows += rows[:20]
     df = spark.createDataFrame(rows, "doc_id int, text string, ids string")
-    out = decode(encode(df, model, dictionary=dictionary), model, "_ids").collect()
+    out = decode(encode(df, model), model, "_ids").collect()
     assert len(out) == len(rows)
     for r in out:
         assert r["_ids"] == (None if r.text is None else library.encode(r.text))
         assert r.decoded == (None if r.text is None else r.text.replace("▁", " "))
 
 
-@pytest.mark.parametrize("dictionary", [4_000_000, 40])
-def test_decoding_in_one_pass(spark, model, dictionary):
+def test_decoding_in_one_pass(spark, model):
     df = spark.createDataFrame(list(enumerate(texts())), "doc_id int, text string")
-    out = {r.doc_id: r for r in encode(df, model, dictionary=dictionary, decoded="doc_id", keep_text=False).collect()}
+    out = {r.doc_id: r for r in encode(df, model, decoded="doc_id", keep_text=False).collect()}
     assert all(out[i]["_doc_id"] == (None if t is None else t.replace("▁", " ")) for i, t in enumerate(texts()))
 
 
+def test_repeated_long_segments(spark, model, library):
+    rng = random.Random(24)
+    long = ["".join(rng.choice("abcdeinrst") for _ in range(n)) for n in (100, 128, 129, 10_000)]
+    df = spark.createDataFrame([(i, f"one {long[i % 4]} two {long[(i + 1) % 4]}") for i in range(1000)], "doc_id int, text string").repartition(4)
+    want = {i: library.encode(f"one {long[i % 4]} two {long[(i + 1) % 4]}") for i in range(4)}
+    assert all(r.ids == want[r.doc_id % 4] for r in encode(df, model).collect())
+
+
+def test_partitions_that_change_between_readings(spark, model, library, monkeypatch):
+    """Ids are right even if a task finds nothing of its segments in its partition's folder."""
+    from siftline.llm import pieces
+
+    real = pieces._own_ids
+    monkeypatch.setattr(pieces, "_own_ids", lambda folder, kind: real(folder + "0000", kind))
+    df = spark.createDataFrame(list(enumerate(t for t in texts() if t)), "doc_id int, text string")
+    assert all(r.ids == library.encode(r.text) for r in encode(df, model).collect())
+
+
+def test_many_segments_are_passed_on(spark, model, library, monkeypatch):
+    from siftline.llm import pieces
+
+    monkeypatch.setattr(pieces, "HELD", 50)
+    monkeypatch.setattr(pieces, "SLICE", 1 << 12)
+    df = spark.createDataFrame(list(enumerate(t for t in texts() if t)), "doc_id int, text string")
+    assert all(r.ids == library.encode(r.text) for r in encode(df, model).collect())
+
+
 def test_empty_table(spark, model):
     assert decode(encode(spark.createDataFrame([], "text string"), model), model).count() == 0
 
