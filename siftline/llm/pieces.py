@@ -52,7 +52,7 @@ from .common import col, durable, file_system, fresh, made, require, shared_dir
 MARK, LONG, NEVER, SHIFT = "▁", 128, (1 << 24) - 1, 24
 MAX_BROADCAST_PIECES, SIZES = 1_000_000, 127
 #: Bytes of text that are cut into segments at a time; distinct segments that a task holds before it passes them on.
-SLICE, HELD = 1 << 22, 1 << 20
+SLICE, HELD = 1 << 21, 1 << 19
 
 
 @dataclass
@@ -311,17 +311,24 @@ def _fold_viterbi(edges: Column, scores: Column) -> Column:
     return F.aggregate(edges, first, step)
 
 
+def id_bytes(p: Pieces) -> int:
+    """Bytes of an id where many are kept."""
+    return 2 if p.size <= 1 << 16 else 4
+
+
 def encode_segments(words: DataFrame, p: Pieces) -> DataFrame:
-    """(segment, ids) of distinct segments."""
+    """(segment, ids) of distinct segments, the ids as bytes, the highest first."""
+    width = id_bytes(p)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x in range(batch.num_rows):
                 one = batch.column(0).slice(x, 1)
-                yield pa.RecordBatch.from_arrays([one, pa.array([encode_segment(one[0].as_py(), p)], pa.list_(pa.int32()))], ["segment", "ids"])
+                yield pa.RecordBatch.from_arrays([one, pa.array([np.array(encode_segment(one[0].as_py(), p), f">u{width}").tobytes()], pa.binary())], ["segment", "ids"])
 
-    short = edge_table(words.where(F.length("segment") <= LONG), p).select("segment", fold_edges(p).alias("ids"))
-    return short.unionByName(words.where(F.length("segment") > LONG).mapInArrow(run, "segment string, ids array<int>"))
+    digits = F.transform(fold_edges(p), lambda x: F.lpad(F.hex(x), 2 * width, "0"))
+    short = edge_table(words.where(F.length("segment") <= LONG), p).select("segment", F.unhex(F.array_join(digits, "")).alias("ids"))
+    return short.unionByName(words.where(F.length("segment") > LONG).mapInArrow(run, "segment string, ids binary"))
 
 
 def part_segments(docs: DataFrame, text_col: str, p: Pieces) -> DataFrame:
@@ -346,6 +353,8 @@ def part_segments(docs: DataFrame, text_col: str, p: Pieces) -> DataFrame:
                         yield from rows(held[0])
                         held = [held[0].slice(0, 0)]
         yield from rows(pc.unique(pa.concat_arrays(held)))
+        del held
+        pa.default_memory_pool().release_unused()
 
     return docs.where(col(text_col).isNotNull()).select(col(text_col)).mapInArrow(run, "part int, segment string")
 
@@ -359,9 +368,11 @@ def _own_ids(folder: str, kind: type) -> tuple[pa.Array, np.ndarray, np.ndarray,
             with fs.open_input_file(f.path) as opened:
                 part = pq.ParquetFile(opened).read(["segment", "ids"], use_threads=False)
             words += part.column("segment").cast(pa.string()).chunks
-            for ids in part.column("ids").chunks:
-                flat.append(ids.flatten().to_numpy().astype(kind))
-                size.append(pc.list_value_length(ids).to_numpy().astype(np.int64))
+            for ids in part.column("ids").cast(pa.binary()).chunks:
+                data, off = byte_view(ids)
+                flat.append(data.view(np.dtype(kind).newbyteorder(">")).astype(kind))
+                size.append(np.diff(off) // np.dtype(kind).itemsize)
+            del part
     size = np.concatenate(size)
     return pa.concat_arrays(words), np.concatenate(flat), np.cumsum(size) - size, size
 
@@ -371,7 +382,8 @@ def encode(docs: DataFrame, pieces: Pieces, text_col: str = "text", decoded: str
     require(docs, text_col)
     ids_col, decoded = fresh(docs, "ids", decoded) if decoded else (*fresh(docs, "ids"), None)
     pairs = durable(part_segments(docs, text_col, pieces))
-    table = encode_segments(pairs.select("segment").distinct(), pieces)
+    tasks = min(max(pairs.count() >> 17, 1), 100_000)  # lattices are far larger than the segments that they come from
+    table = durable(encode_segments(pairs.select("segment").repartition(tasks, "segment").distinct(), pieces))
     path = made(f"{shared_dir(docs.sparkSession)}/pieces-{uuid.uuid4().hex}")
     pairs.join(table, "segment").repartition("part").write.partitionBy("part").parquet(path)
     at = docs.columns.index(text_col)
@@ -381,8 +393,9 @@ def encode(docs: DataFrame, pieces: Pieces, text_col: str = "text", decoded: str
     names = [f.name for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = np.uint16 if pieces.size < 1 << 16 else np.int32
+        kind = np.uint16 if id_bytes(pieces) == 2 else np.uint32
         words, flat, begin, size = _own_ids(f"{path}/part={TaskContext.get().partitionId()}", kind)
+        pa.default_memory_pool().release_unused()
         back = piece_bytes(pieces) if decoded else None
         for batch in batches:
             texts = as_strings(batch.column(at))
