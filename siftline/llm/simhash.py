@@ -9,33 +9,37 @@ connected components of that relation, and one document of each group stays.
 
 Search. Equal fingerprints become one node first. Every node is put into
 ``tables`` buckets, each keyed by its own choice of ``key_bits`` bits; a pair at
-distance d meets in one table with probability (1 - d/256)^16, so 24 tables find
-99.9 % of pairs at d = 16, 99 % at 26 and 90 % at 36 (near copies of this kind lie
-around 20). Inside a bucket the fingerprints are sorted by Gray rank, runs of
+distance d meets in one table with probability C(256-d, key_bits) / C(256, key_bits). Both numbers
+follow from the number of nodes (``bucket_plan``): buckets hold some 64, and a pair
+at the limit itself is found with 0.99, a nearer one more surely (0.99999 at 20), at
+every size; the tables grow as about the 0.3rd power of the nodes. Inside a bucket the
+fingerprints are sorted by Gray rank, runs of
 ``FAN`` neighbours become nodes that hold the bits on which all members agree,
 and so on upwards; a node's own pattern leaves out what its parent has already
 tested. Every fingerprint then descends as a query, adding the differences of the
 patterns that it passes, and a whole group is dropped as soon as the sum exceeds
-the distance. Buckets report the star of each local component, so a group of
-thousands yields thousands of edges, not millions, without losing a connection.
+the distance, or if its members are joined to the query already. Buckets report the
+star of each local component, so a group of thousands yields thousands of edges,
+not millions, without losing a connection.
 
 Only fingerprints are shuffled, and the text once for the final choice.
 
 Defined results
 ---------------
 * null, empty or wordless texts have no fingerprint: they are never compared and all stay.
-* rows that repeat an id and its text are one document: one of them stays, chosen by the other columns' JSON.
+* rows that repeat an id and its text are one document: one of them stays, chosen by a hash of the other columns.
 * of a group the smallest id stays (null ids last, then the smallest text digest).
 * other columns pass through, whatever their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import U64, Words, as_strings, slices
@@ -93,12 +97,15 @@ def _ones(words: np.ndarray) -> np.ndarray:
     return np.bitwise_count(words).sum(axis=1).astype(np.int32)
 
 
-def near_pairs(bucket: np.ndarray, code: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (i, j), i < j, of codes (n, 4 uint64) of one bucket within ``limit`` bits; sorted by bucket, then Gray rank."""
+def near_roots(bucket: np.ndarray, code: np.ndarray, limit: int) -> np.ndarray:
+    """The least position of each code's component under "same bucket and within ``limit`` bits"; codes (n, 4 uint64) sorted by bucket, then Gray rank.
+
+    Neighbours in Gray order are joined first; then the codes descend in blocks, and a group whose members all lie in the
+    query's component is passed over, so a cluster of n near copies costs some n comparisons, not n squared.
+    """
     n = len(bucket)
-    none = np.zeros(0, np.int64)
     if n < 2:
-        return none, none
+        return np.arange(n)
     opens = np.append(True, bucket[1:] != bucket[:-1])
     head = np.flatnonzero(opens)
     place = np.arange(n) - np.repeat(head, np.diff(np.append(head, n)))
@@ -113,9 +120,25 @@ def near_pairs(bucket: np.ndarray, code: np.ndarray, limit: int) -> tuple[np.nda
         levels.append((leaf, agree, code[start] & agree, np.searchsorted(below, leaf)))
         if len(start) == len(head):
             break
-    root = np.repeat(np.arange(len(head)), np.diff(np.append(head, n)))
-    found_i, found_j = [none], [none]
-    work = [(len(levels) - 1, np.arange(n), root, np.zeros(n, np.int32))]  # a root's pattern agrees with all its members
+    top = np.repeat(np.arange(len(head)), np.diff(np.append(head, n)))
+    beside = np.flatnonzero(~opens[1:] & (_ones(code[1:] ^ code[:-1]) <= limit))
+    root = local_roots(n, beside, beside + 1)
+    done, step = 0, 16
+    while done <= place.max():
+        query = np.flatnonzero((place >= done) & (place < done + step))
+        i, j = _descend(levels, code, query, top[query], root, limit)
+        if len(i):
+            root = local_roots(n, np.append(np.arange(n), i), np.append(root, j))
+        done, step = done + step, min(2 * step, 4096)
+    return root
+
+
+def _descend(levels: list[tuple], code: np.ndarray, query: np.ndarray, top: np.ndarray, root: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j), i < j, within ``limit`` bits of which i is a query and j isn't in its component."""
+    one = [np.minimum.reduceat(root, leaf[:-1]) for leaf, *_ in levels]
+    one = [np.where(low == np.maximum.reduceat(root, leaf[:-1]), low, -1) for low, (leaf, *_) in zip(one, levels)]  # the component of all members, or -1
+    found_i, found_j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    work = [(len(levels) - 1, query, top, np.zeros(len(query), np.int32))]  # a root's pattern agrees with all its members
     while work:
         level, query, node, sum_ = work.pop()
         if level == 0:
@@ -131,8 +154,8 @@ def near_pairs(bucket: np.ndarray, code: np.ndarray, limit: int) -> tuple[np.nda
             continue
         parent = np.repeat(np.arange(len(query)), many)
         below = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(child[node], many)
-        later = leaf[below + 1] > query[parent] + 1
-        parent, below = parent[later], below[later]
+        open_ = (leaf[below + 1] > query[parent] + 1) & (one[level - 1][below] != root[query[parent]])
+        parent, below = parent[open_], below[open_]
         q = query[parent]
         fresh_bits = child_mask[below] & ~mask[node[parent]]
         total = sum_[parent] + _ones((code[q] ^ child_value[below]) & fresh_bits)
@@ -172,7 +195,7 @@ def _rank_rows(text_at: int):
             bits, has = fingerprints(as_strings(batch.column(text_at)), projection)
             packed = np.packbits(gray_rank(bits), axis=1)
             rank = pa.array([r.tobytes() if h else None for r, h in zip(packed, has)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), rank], ["id", "digest", "rank"])
+            yield pa.RecordBatch.from_arrays([*[c for x, c in enumerate(batch.columns) if x != text_at], rank], [*[c for x, c in enumerate(batch.schema.names) if x != text_at], "rank"])
 
     return run
 
@@ -195,8 +218,7 @@ def _bucket_rows(tables: int, key_bits: int):
 def _edge_rows(limit: int):
     def edges(bucket: np.ndarray, packed: np.ndarray) -> pa.RecordBatch:
         code = np.ascontiguousarray(np.packbits(from_rank(np.unpackbits(packed, axis=1)), axis=1)).view(U64)
-        i, j = near_pairs(bucket, code, limit)
-        root = local_roots(len(bucket), i, j)
+        root = near_roots(bucket, code, limit)
         hung = np.flatnonzero(root != np.arange(len(root)))
         return pa.RecordBatch.from_arrays([_binary(packed[hung]), _binary(packed[root[hung]])], ["a", "b"])
 
@@ -220,28 +242,55 @@ def _edge_rows(limit: int):
     return run
 
 
-def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_distance: int = 44, tables: int = 24, key_bits: int = 16) -> DataFrame:
-    """(id, digest, grp) of every distinct (id, text digest); grp is null where there is no fingerprint, else the same for near duplicates."""
-    require(docs, id_col, text_col)
-    given = docs.select(col(id_col).alias("id"), F.xxhash64(col(text_col)).alias("digest"), col(text_col).alias("text"))
+def bucket_plan(nodes: int, limit: int, recall: float = 0.99) -> tuple[int, int]:
+    """(tables, key bits) for a number of fingerprints: buckets of some 64, and tables enough to find a pair at the limit itself with ``recall``."""
+    key_bits = min(max((max(nodes, 1) - 1).bit_length() - 6, 8), 40)
+    meet = math.prod((BITS - limit - i) / (BITS - i) for i in range(key_bits))
+    return math.ceil(math.log(1 - recall) / math.log1p(-meet)), key_bits
+
+
+def _row_keys(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
+    """128 bits that tell apart all rows that aren't repeated whole."""
+    parts = [col(id_col), col(text_col), other_columns_hash(docs, id_col, text_col), col(id_col).isNull(), col(text_col).isNull()]
+    return [F.xxhash64(*parts), F.xxhash64(F.lit(7), *parts[::-1])]
+
+
+def _ranked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, digest, k1, k2, rank) of every row, in a durable table."""
+    k1, k2 = _row_keys(docs, id_col, text_col)
+    given = docs.select(col(id_col).alias("id"), F.xxhash64(col(text_col)).alias("digest"), k1.alias("k1"), k2.alias("k2"), col(text_col).alias("text"))
     id_type = docs.schema[id_col].dataType.simpleString()
-    ranks = durable(given.mapInArrow(_rank_rows(2), f"id {id_type}, digest long, rank binary"))
+    return durable(given.mapInArrow(_rank_rows(4), f"id {id_type}, digest long, k1 long, k2 long, rank binary"))
+
+
+def _grouped(ranks: DataFrame, max_distance: int, tables: int | None, key_bits: int | None) -> DataFrame:
+    """``ranks`` with ``grp``."""
     nodes = ranks.where("rank IS NOT NULL").select("rank").distinct()
+    if tables is None or key_bits is None:
+        tables, key_bits = bucket_plan(nodes.count(), max_distance)
     buckets = nodes.mapInArrow(_bucket_rows(tables, key_bits), "bucket long, rank binary")
     sorted_ = buckets.repartition("bucket").sortWithinPartitions("bucket", "rank")
     roots = components(sorted_.mapInArrow(_edge_rows(max_distance), "a binary, b binary"))
-    return ranks.distinct().join(roots, ranks["rank"] == roots["node"], "left").select("id", "digest", F.coalesce("root", "rank").alias("grp"))
+    return ranks.join(roots, ranks["rank"] == roots["node"], "left").withColumn("grp", F.coalesce("root", "rank"))
 
 
-def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_distance: int = 44, tables: int = 24, key_bits: int = 16) -> DataFrame:
+def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_distance: int = 44, tables: int | None = None, key_bits: int | None = None) -> DataFrame:
+    """(id, digest, grp) of every distinct (id, text digest); grp is null where there is no fingerprint, else the same for near duplicates."""
+    require(docs, id_col, text_col)
+    return _grouped(_ranked(docs, id_col, text_col), max_distance, tables, key_bits).select("id", "digest", "grp").distinct()
+
+
+def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_distance: int = 44, tables: int | None = None, key_bits: int | None = None) -> DataFrame:
     """The rows of ``docs`` that stay, with their columns; see the module's text."""
-    groups = simhash_groups(docs, id_col, text_col, max_distance, tables, key_bits)
-    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), F.col("id"), F.col("digest"))).alias("w")
-    best = groups.where("grp IS NOT NULL").groupBy("grp").agg(first).select("w.id", "w.digest")
-    stay = best.unionByName(groups.where("grp IS NULL").select("id", "digest"))
-    digest, order, other_id, other = fresh(docs, "digest", "order", "other_id", "other")
-    stay = stay.select(F.col("id").alias(other_id), F.col("digest").alias(other))
-    rows = docs.withColumn(digest, F.xxhash64(col(text_col)))
-    once = Window.partitionBy(col(id_col), F.col(digest)).orderBy(other_columns_hash(docs, id_col, text_col))
-    rows = rows.withColumn(order, F.row_number().over(once)).where(F.col(order) == 1)
-    return rows.join(stay, col(id_col).eqNullSafe(F.col(other_id)) & (F.col(digest) == F.col(other)), "left_semi").select(*[col(c) for c in docs.columns])
+    require(docs, id_col, text_col)
+    groups = _grouped(_ranked(docs, id_col, text_col), max_distance, tables, key_bits)
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), F.col("id"), F.col("digest"), F.col("k1"), F.col("k2"))).alias("w")
+    best = groups.where("grp IS NOT NULL").groupBy("grp").agg(first)
+    alone = groups.where("grp IS NULL").groupBy("id", "digest").agg(first)
+    k1, k2, row, n1, n2 = fresh(docs, "k1", "k2", "row", "n1", "n2")
+    stay = best.select("w").unionByName(alone.select("w")).select(F.col("w.k1").alias(n1), F.col("w.k2").alias(n2))
+    keys = _row_keys(docs, id_col, text_col)
+    rows = docs.select(keys[0].alias(k1), keys[1].alias(k2), F.struct(*[col(c) for c in docs.columns]).alias(row))
+    once = rows.groupBy(k1, k2).agg(F.first(row).alias(row))  # rows repeated whole are one before they are shuffled
+    kept = once.join(stay, (F.col(k1) == F.col(n1)) & (F.col(k2) == F.col(n2)), "left_semi")
+    return kept.select(*[F.col(row).getField(c).alias(c) for c in docs.columns])
