@@ -75,11 +75,11 @@ def made(path: str) -> str:
     return path
 
 
-def durable(df: DataFrame) -> DataFrame:
+def durable(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there and no executor's loss undoes it."""
     spark = df.sparkSession
     path = made(f"{shared_dir(spark)}/table-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     spark.sparkContext._jvm.System.gc()  # the shuffle files that led here go when the driver collects their handles
     return spark.read.schema(df.schema).parquet(path)
 

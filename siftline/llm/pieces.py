@@ -381,11 +381,11 @@ def encode(docs: DataFrame, pieces: Pieces, text_col: str = "text", decoded: str
     """``docs`` with ``ids``, and with their texts again in ``decoded`` if that is named; see the module's text."""
     require(docs, text_col)
     ids_col, decoded = fresh(docs, "ids", decoded) if decoded else (*fresh(docs, "ids"), None)
-    pairs = durable(part_segments(docs, text_col, pieces))
+    pairs = durable(part_segments(docs, text_col, pieces), "zstd")
     tasks = min(max(pairs.count() >> 17, 1), 100_000)  # lattices are far larger than the segments that they come from
-    table = durable(encode_segments(pairs.select("segment").repartition(tasks, "segment").distinct(), pieces))
+    table = durable(encode_segments(pairs.select("segment").repartition(tasks, "segment").distinct(), pieces), "zstd")
     path = made(f"{shared_dir(docs.sparkSession)}/pieces-{uuid.uuid4().hex}")
-    pairs.join(table, "segment").repartition("part").write.partitionBy("part").parquet(path)
+    pairs.join(table, "segment").repartition("part").sortWithinPartitions("part", "segment").write.partitionBy("part").parquet(path, compression="zstd")
     at = docs.columns.index(text_col)
     kept_at = [i for i, c in enumerate(docs.columns) if keep_text or c != text_col]
     fields = [*[docs.schema.fields[i] for i in kept_at], T.StructField(ids_col, T.ArrayType(T.IntegerType()))]
