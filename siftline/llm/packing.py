@@ -1,30 +1,34 @@
 """Packing of related documents into windows.
 
-1. Vectors. A document's words fall into a signed, damped count sketch (as for
-   SimHash) that is projected to ``DIMS`` numbers and scaled to length one. Documents
-   with the same vector, copies above all, are one node of the graph.
-2. Neighbours. The nodes are cut into cells of about ``cell_nodes`` by a k-d tree
-   whose planes come from a sample. Each node finds its ``k`` nearest in its own cell,
-   then asks every other cell that its ball reaches into; inside a cell the search
-   goes block by block, nearest bounding boxes first, and stops at the ball. The
-   result is exact: the sample shapes the cells, not the answer. Coordinates are rounded
-   to 8192ths, so that distances are whole numbers and come out alike in any order.
-3. Paths. In each cell, over the undirected edges inside it, a walk starts at the
-   unvisited node of lowest degree (ties by node id), goes on to the nearest
-   unvisited neighbour while there is one, and then starts again.
-4. Windows. The documents of a cell, in path order and copies in order of id, form
-   one sequence of tokens that is cut every ``window_tokens``: all windows but a
-   cell's last are full, and each token of the corpus is in exactly one window.
-
-A token is a run of characters other than ASCII white space. Texts are read once and
-never shuffled; 40 bytes a document are.
+1. Vectors. A document's words fall into a signed, damped count sketch of ``SKETCH`` numbers
+   (as for SimHash), kept sparse. Documents with the same sketch, copies above all, are one
+   node of the graph; nearness is the cosine of the sketches.
+2. Neighbours. A tree of median splits, fitted on a bounded sample, cuts the nodes into cells
+   of about ``cell_nodes``, whose sizes are even however alike the nodes are. A node belongs to
+   one cell and is looked up in the ``probes`` cells whose sample's mean is nearest to it, its
+   own among them. Inside a cell the search is exact on the whole sketch: the numbers that most
+   nodes have are multiplied densely, the others by their postings. All weights are whole
+   numbers, so products are the same in any order. With one cell the graph is exact; how much
+   more cells find of it is measured in README.
+3. Paths. In each cell, over the undirected edges inside it, a walk starts at the unvisited
+   node of lowest degree (ties by node id), goes on to the nearest unvisited neighbour while
+   there is one, and then starts again. Then paths of all cells are joined end to end along the
+   edges between their ends, nearest first, in rounds in which every path joins with one other
+   at most, until no edge joins two ends. Joined paths have at most ``cell_nodes`` nodes.
+4. Windows. A joined path belongs to the cell where its first piece lies. The documents of a
+   cell's paths, in path order and copies in order of id, form one sequence of tokens that is
+   cut every ``window_tokens``: all windows but a cell's last are full, and each token of the
+   corpus is in exactly one window.
+
+A token is a run of characters other than ASCII white space. Texts are read once and never
+shuffled; four bytes for each distinct word of a document are.
 
 Defined results
 ---------------
 * null, empty and blank texts have no tokens and are in no window.
 * texts without a letter or digit share one node.
 * rows that repeat an id are all packed, each in its own place.
-* ids of any type pass through; other columns play no part. An empty table gives an empty table.
+* ids of any type pass through and keep their column's name; where it is one of the new columns' names, these get leading underscores. Other columns play no part. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -37,11 +41,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrays import U64, Words, as_strings, byte_view, grouped, slices
-from .common import col, durable, require
+from .common import col, durable, fresh, require
 
-DIMS, SKETCH, BLOCK = 8, 4096, 512
-#: Every task holds the boxes of all cells (128 bytes each); beyond a thousand million nodes cells grow instead.
-MAX_CELLS = 1 << 16
+SKETCH, DENSE, BLOCK = 4096, 512, 512
+#: Every task holds the means of all cells (four kilobytes each); beyond 32 million distinct sketches cells grow instead.
+MAX_CELLS = 1 << 13
+#: Sampled nodes for each cell, and at least.
+PER_CELL, LEAST_SAMPLE = 16, 8192
 _SPACE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
 
 
@@ -56,148 +62,156 @@ def count_tokens(texts: pa.Array) -> np.ndarray:
     return total[off[1:]] - total[off[:-1]]
 
 
-def vectors(texts: pa.Array) -> np.ndarray:
-    """(n, DIMS) float32; zero where there are no words."""
-    projection = (np.random.Generator(np.random.PCG64(31)).integers(0, 2, size=(SKETCH, DIMS)) * 2 - 1).astype(np.float32)
-    out = [np.zeros((0, DIMS), np.float32)]
+def sketches(texts: pa.Array) -> list[bytes]:
+    """The nonzero cells of each text's sketch as (cell, weight) in two bytes each; nothing where there are no words."""
+    out: list[bytes] = []
     for a, b in slices(texts):
         words = Words(texts.slice(a, b - a))
         weight = np.where(words.end - words.start >= 4, 1.0, 0.25)
         weight[(words.hash >> U64(40)) & U64(1) == 1] *= -1
         cell = words.doc * SKETCH + (words.hash & U64(SKETCH - 1)).astype(np.int64)
-        sketch = np.bincount(cell, weights=weight, minlength=(b - a) * SKETCH).reshape(b - a, SKETCH)
-        # 64ths keep float32 sums exact in any order, so equal bags of words give equal vectors
-        damped = np.copysign(np.floor(np.log2(np.abs(sketch) + 1) * 64) / 64, sketch).astype(np.float32)
-        v = (damped @ projection).astype(np.float64)
-        size = np.sqrt((v * v).sum(axis=1, keepdims=True))
-        out.append((v / np.where(size > 0, size, 1)).astype(np.float32))
-    return np.concatenate(out)
+        sketch = np.bincount(cell, weights=weight, minlength=(b - a) * SKETCH)
+        at = np.flatnonzero(sketch)
+        damped = np.copysign(np.floor(np.log2(np.abs(sketch[at]) + 1) * 16 + 0.5), sketch[at]).astype(np.int16)
+        pairs = np.stack([(at % SKETCH).astype(np.uint16), damped.view(np.uint16)], axis=1).tobytes()
+        edge = (4 * np.searchsorted(at, np.arange(b - a + 1) * SKETCH)).tolist()
+        out += [pairs[x:y] for x, y in zip(edge, edge[1:])]
+    return out
 
 
 def _vector_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = as_strings(batch.column(1))
-        packed = [v.tobytes() for v in vectors(texts)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(count_tokens(texts)), pa.array(packed, pa.binary())], ["id", "digest", "tokens", "vec"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(count_tokens(texts)), pa.array(sketches(texts), pa.binary())], ["id", "digest", "tokens", "vec"])
+
+
+class Sparse:
+    """Rows of sketches: ``begin`` (n+1), ``cell``, ``weight`` and the rows' lengths."""
+
+    def __init__(self, packed: list[bytes]):
+        pairs = np.frombuffer(b"".join(packed), np.uint16).reshape(-1, 2)
+        self.begin = np.append(0, np.cumsum(np.array([len(x) // 4 for x in packed], np.int64)))
+        self.cell, self.weight = pairs[:, 0].astype(np.int64), pairs[:, 1].view(np.int16).astype(np.float32)
+        self.row = np.repeat(np.arange(len(packed)), np.diff(self.begin))
+        size = np.bincount(self.row, weights=self.weight.astype(np.float64) ** 2, minlength=len(packed))
+        self.size = np.sqrt(np.maximum(size, 1e-30))
+
+    def __len__(self) -> int:
+        return len(self.begin) - 1
+
+    def dense(self, rows: np.ndarray) -> np.ndarray:
+        """(len(rows), SKETCH) float32."""
+        out = np.zeros((len(rows), SKETCH), np.float32)
+        at, row = self.entries(rows)
+        out[row, self.cell[at]] = self.weight[at]
+        return out
+
+    def entries(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Indices of the rows' entries, and which of ``rows`` each belongs to."""
+        n = self.begin[rows + 1] - self.begin[rows]
+        row = np.repeat(np.arange(len(rows)), n)
+        return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.begin[rows], n), row
 
 
 class Tree:
-    """A complete k-d tree of ``cells`` (a power of two) leaves with the boxes of its leaves."""
+    """A complete tree of median splits with ``cells`` (a power of two) leaves, and the means of the sample in its leaves."""
 
-    def __init__(self, sample: np.ndarray, cells: int):
-        self.depth = cells.bit_length() - 1
-        self.dim = np.zeros(cells, np.int64)
+    def __init__(self, sample: Sparse, cells: int):
+        self.cells, self.depth = cells, cells.bit_length() - 1
+        self.plane = np.zeros((cells, SKETCH), np.float16)
         self.at = np.zeros(cells)
-        self.low = np.full((2 * cells, DIMS), -np.inf)
-        self.high = np.full((2 * cells, DIMS), np.inf)
-        members = {1: sample}
+        self.mean = np.zeros((cells, SKETCH), np.float16)
+        members = {1: np.arange(len(sample))}
         for node in range(1, cells):
             own = members.pop(node)
+            if len(own) > 1:
+                some = own[:: max(1, len(own) // 1024)]
+                x = sample.dense(some) / sample.size[some, None].astype(np.float32)
+                one, two = x[0], x[int((x @ x[0]).argmin())]
+                for _ in range(4):
+                    left = x @ (one - two) >= np.median(x @ (one - two))
+                    one, two = x[left].mean(axis=0), x[~left].mean(axis=0) if (~left).any() else two
+                self.plane[node] = (one - two).astype(np.float16)
+                score = self._score(sample, own, self.plane[node])
+                self.at[node] = float(np.median(score))
+                right = score > self.at[node]
+            else:
+                right = np.zeros(len(own), bool)
+            members[2 * node], members[2 * node + 1] = own[~right], own[right]
+        for leaf in range(cells):
+            own = members[cells + leaf]
             if len(own):
-                self.dim[node] = int(np.argmax(own.max(axis=0) - own.min(axis=0)))
-                self.at[node] = float(np.median(own[:, self.dim[node]]))
-            right = own[:, self.dim[node]] > self.at[node]
-            for child, part in ((2 * node, own[~right]), (2 * node + 1, own[right])):
-                members[child] = part
-                self.low[child], self.high[child] = self.low[node], self.high[node]
-            self.high[2 * node, self.dim[node]] = self.at[node]
-            self.low[2 * node + 1, self.dim[node]] = self.at[node]
-        self.low, self.high = self.low[cells:], self.high[cells:]
-        self.cells = cells
-
-    def cell(self, points: np.ndarray) -> np.ndarray:
-        node = np.ones(len(points), np.int64)
-        for _ in range(self.depth):
-            node = 2 * node + (points[np.arange(len(points)), self.dim[node]] > self.at[node])
-        return node - self.cells
+                mean = (sample.dense(own) / sample.size[own, None].astype(np.float32)).sum(axis=0)
+                self.mean[leaf] = mean / max(float(np.sqrt((mean * mean).sum())), 1e-9)
 
+    @staticmethod
+    def _score(rows: Sparse, which: np.ndarray, plane: np.ndarray) -> np.ndarray:
+        at, row = rows.entries(which)
+        return np.bincount(row, weights=rows.weight[at] * plane[rows.cell[at]].astype(np.float64), minlength=len(which)) / rows.size[which]
 
-def _gap(low: np.ndarray, high: np.ndarray, lows: np.ndarray, highs: np.ndarray) -> np.ndarray:
-    """Squared distance of a box to each of many boxes."""
-    d = np.maximum(0, np.maximum(lows - high, low - highs))
-    return (d * d).sum(axis=1)
-
-
-def _blocks(points: np.ndarray, size: int = BLOCK) -> list[np.ndarray]:
-    """Index sets of at most ``size`` points, split at medians of the widest dimension."""
-    out, work = [], [np.arange(len(points))]
-    while work:
-        rows = work.pop()
-        if len(rows) <= size:
-            if len(rows):
-                out.append(rows)
-            continue
-        spread = points[rows].max(axis=0) - points[rows].min(axis=0)
-        order = rows[np.argsort(points[rows, int(np.argmax(spread))], kind="stable")]
-        work += [order[: len(order) // 2], order[len(order) // 2 :]]
-    return out
-
-
-def nearest(points: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int, within: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(squared distances, ids) of the k nearest points of each query by (distance, id), itself left out, within a bound; inf and 0 pad.
+    def home(self, rows: Sparse) -> np.ndarray:
+        node = np.ones(len(rows), np.int64)
+        for _ in range(self.depth):
+            score = np.bincount(rows.row, weights=rows.weight * self.plane[node[rows.row], rows.cell].astype(np.float64), minlength=len(rows)) / rows.size
+            node = 2 * node + (score > self.at[node])
+        return node - self.cells
 
-    Coordinates are whole numbers, so products of blocks give exact distances. Of each block only what lies within
-    a query's k-th distance so far is looked at again.
-    """
-    best = np.full((len(queries), k), np.inf)
-    who = np.zeros((len(queries), k), np.int64)
-    if not len(points):
+    def near(self, rows: Sparse, which: np.ndarray, home: np.ndarray, probes: int) -> np.ndarray:
+        """The ``probes`` cells of each row with the nearest means, its home first."""
+        like = rows.dense(which) @ self.mean.astype(np.float32).T
+        like[np.arange(len(which)), home] = np.inf
+        n = min(probes, self.cells)
+        some = np.argpartition(-like, n - 1, axis=1)[:, :n]
+        order = np.argsort(-np.take_along_axis(like, some, axis=1), axis=1, kind="stable")
+        return np.take_along_axis(some, order, axis=1)
+
+
+def nearest(members: Sparse, ids: np.ndarray, queries: Sparse, query_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(distances, ids) of the k nearest members of each query by (1 - cosine, id), itself left out; inf and 0 pad. Only what shares a cell counts."""
+    n, m = len(queries), len(members)
+    best, who = np.full((n, k), np.inf), np.zeros((n, k), np.int64)
+    if not n or not m:
         return best, who
-    parts = _blocks(points)
-    own = [points[p] for p in parts]
-    lows, highs = np.array([x.min(axis=0) for x in own]), np.array([x.max(axis=0) for x in own])
-    squares = [(x * x).sum(axis=1) for x in own]
-    for q in _blocks(queries):
-        at, names = queries[q], query_ids[q]
-        size = (at * at).sum(axis=1)
-        gaps = _gap(at.min(axis=0), at.max(axis=0), lows, highs)
-        reach = within[q].astype(float)
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-        def settle() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-            """The k best hits of every query so far, with their ranks; lowers ``reach``."""
-            row, d, i = (np.concatenate([h[x] for h in held]) if held else np.zeros(0) for x in range(3))
-            order = np.lexsort((i, d, row))
-            row, d, i = row[order].astype(np.int64), d[order], i[order].astype(np.int64)
-            rank = np.arange(len(row)) - np.searchsorted(row, row)
-            top = rank < k
-            row, d, i, rank = row[top], d[top], i[top], rank[top]
-            held[:] = [(row, d, i)]
-            last = rank == k - 1
-            reach[row[last]] = np.minimum(reach[row[last]], d[last])
-            return row, d, i, rank
-
-        for n, b in enumerate(np.argsort(gaps, kind="stable")):
-            if gaps[b] > reach.max():
-                break
-            off = np.maximum(0, np.maximum(lows[b] - at, at - highs[b]))
-            rows = np.flatnonzero((off * off).sum(axis=1) <= reach)
-            if not len(rows):
-                continue
-            d = size[rows, None] + squares[b] - 2 * (at[rows] @ own[b].T)
-            d[names[rows][:, None] == ids[parts[b]][None]] = np.inf
-            far = ~np.isfinite(reach[rows])
-            if far.any() and d.shape[1] > k:
-                reach[rows[far]] = np.partition(d[far], k - 1, axis=1)[:, k - 1]
-            r, c = np.nonzero((d <= reach[rows, None]) & np.isfinite(d))
-            held.append((rows[r], d[r, c], ids[parts[b]][c]))
-            if far.any() or n % 4 == 3:
-                settle()
-        row, d, i, rank = settle()
-        best[q[row], rank], who[q[row], rank] = d, i
+    count = np.bincount(members.cell, minlength=SKETCH)
+    common = np.argsort(-count, kind="stable")[:DENSE]
+    slot = np.full(SKETCH, -1, np.int64)
+    slot[common] = np.arange(len(common))
+    often = slot[members.cell] >= 0
+    dense = np.zeros((m, len(common)), np.float32)
+    dense[members.row[often], slot[members.cell[often]]] = members.weight[often]
+    order = np.argsort(members.cell[~often], kind="stable")
+    post_row, post_weight = members.row[~often][order], members.weight[~often][order]
+    post_begin = np.searchsorted(members.cell[~often][order], np.arange(SKETCH + 1))
+    for a in range(0, n, BLOCK):
+        rows = np.arange(a, min(a + BLOCK, n))
+        at, row = queries.entries(rows)
+        cell, weight = queries.cell[at], queries.weight[at]
+        often = slot[cell] >= 0
+        x = np.zeros((len(rows), len(common)), np.float32)
+        x[row[often], slot[cell[often]]] = weight[often]
+        dot = (x @ dense.T).astype(np.float64).ravel()
+        cell, weight, row = cell[~often], weight[~often], row[~often]
+        width = post_begin[cell + 1] - post_begin[cell]
+        cuts = np.searchsorted(np.cumsum(width), np.arange(0, width.sum() + (1 << 22), 1 << 22), side="left")
+        for lo, hi in zip(cuts, [*cuts[1:], len(cell)]):  # some four million products at a time
+            w = width[lo:hi]
+            if w.sum():
+                place = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w) + np.repeat(post_begin[cell[lo:hi]], w)
+                dot += np.bincount(np.repeat(row[lo:hi] * m, w) + post_row[place], weights=np.repeat(weight[lo:hi], w) * post_weight[place], minlength=len(dot))
+        like = dot.reshape(len(rows), m) / queries.size[rows, None] / members.size[None]
+        like[query_ids[rows][:, None] == ids[None]] = -np.inf
+        low = np.partition(like, m - k, axis=1)[:, m - k] if m > k else np.full(len(rows), -np.inf)
+        r, c = np.nonzero((like >= low[:, None]) & (like > 0))
+        d = 1 - np.round(like[r, c], 9)
+        by = np.lexsort((ids[c], d, r))
+        r, c, d = r[by], c[by], d[by]
+        rank = np.arange(len(r)) - np.searchsorted(r, r)
+        top = rank < k
+        best[a + r[top], rank[top]], who[a + r[top], rank[top]] = d[top], ids[c[top]]
     return best, who
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return _whole(b"".join(column.to_pylist()))
-
-
-def _whole(data: bytes) -> np.ndarray:
-    """Coordinates in 8192ths."""
-    return np.rint(np.frombuffer(data, np.float32).reshape(-1, DIMS).astype(np.float64) * 8192)
-
-
-_FOUND = pa.list_(pa.struct([("d", pa.float64()), ("nid", pa.int64())]))
+_FOUND = "array<struct<d:double,nid:long>>"
 
 
 def _lists(best: np.ndarray, who: np.ndarray) -> pa.Array:
@@ -206,44 +220,20 @@ def _lists(best: np.ndarray, who: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(ok.sum(axis=1))), pa.int32()), flat)
 
 
-def _home_rows(tree: Tree, k: int):
-    """(cell, nid, vec) sorted by cell to found lists, and calls on other cells (found null)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in grouped(batches):
-            cell, ids, points = batch.column(0)[0].as_py(), batch.column(1).to_numpy(), _matrix(batch.column(2))
-            best, who = nearest(points, ids, points, ids, k, np.full(len(points), np.inf))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.nulls(len(ids), pa.binary()), pa.nulls(len(ids), pa.float64()), _lists(best, who)], _CALL)
-            radius = best[:, -1]
-            for rows in _blocks(points):
-                low, high = points[rows].min(axis=0), points[rows].max(axis=0)
-                for other in np.flatnonzero(_gap(low, high, tree.low, tree.high) <= radius[rows].max()):
-                    if other == cell:
-                        continue
-                    d = np.maximum(0, np.maximum(tree.low[other] - points[rows], points[rows] - tree.high[other]))
-                    call = rows[(d * d).sum(axis=1) <= radius[rows]]
-                    if len(call):
-                        at = pa.array(call)
-                        n = len(call)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, other)), batch.column(1).take(at), batch.column(2).take(at), pa.array(radius[call]), pa.nulls(n, _FOUND)], _CALL)
-
-    return run
-
-
-_CALL = ["cell", "nid", "vec", "radius", "found"]
-
-
-def _away_rows(k: int):
-    """(cell, nid, vec, radius) sorted by cell; rows with a radius are calls, the others the cell's own nodes."""
+def _cell_rows(k: int):
+    """(cell, nid, home, vec) sorted by cell to (cell, nid, found); the cell is null where it isn't the node's own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in grouped(batches):
-            ids, points, radius = batch.column(1).to_numpy(), _matrix(batch.column(2)), batch.column(3).to_numpy(zero_copy_only=False)
-            own, call = np.flatnonzero(np.isnan(radius)), np.flatnonzero(~np.isnan(radius))
-            if len(call):
-                best, who = nearest(points[own], ids[own], points[call], ids[call], k, radius[call])
-                hit = np.flatnonzero(np.isfinite(best[:, 0]))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[call[hit]]), _lists(best[hit], who[hit])], ["nid", "found"])
+            ids, home = batch.column(1).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)
+            packed = batch.column(3)
+            own = np.flatnonzero(home)
+            members = Sparse(packed.take(pa.array(own)).to_pylist())
+            for a in range(0, len(ids), 4096):
+                some = slice(a, min(a + 4096, len(ids)))
+                best, who = nearest(members, ids[own], Sparse(packed.slice(a, some.stop - a).to_pylist()), ids[some], k)
+                cell = pa.array(batch.column(0).to_numpy()[some], mask=~home[some])
+                yield pa.RecordBatch.from_arrays([cell, batch.column(1).slice(a, some.stop - a), _lists(best, who)], ["cell", "nid", "found"])
 
     return run
 
@@ -270,7 +260,7 @@ def walk(ids: np.ndarray, source: np.ndarray, target: np.ndarray, dist: np.ndarr
 
 
 def _walk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(cell, nid, found) sorted by cell to (cell, nid, place)."""
+    """(cell, nid, found) sorted by cell to (cell, nid, path, pos, size): a path is named by its first node."""
     for batch in grouped(batches):
         ids = batch.column(1).to_numpy()
         order = np.argsort(ids)
@@ -281,36 +271,80 @@ def _walk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         theirs, dist = flat.field(1).to_numpy(), flat.field(0).to_numpy()
         target = np.minimum(np.searchsorted(ids, theirs), len(ids) - 1)
         inside = ids[target] == theirs
-        path = walk(ids, source[inside], target[inside], dist[inside])
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), batch.column(0)[0].as_py())), pa.array(ids[path]), pa.array(np.arange(len(ids)))], ["cell", "nid", "place"])
-
-
-def neighbour_graph(nodes: DataFrame, k: int = 8, cell_nodes: int = 16384) -> DataFrame:
-    """(cell, nid, found) with the k nearest of each node (nid, vec), nearest first, by (distance, nid); exact."""
+        source, target = source[inside], target[inside]
+        path = walk(ids, source, target, dist[inside])
+        # a path goes on where the next node is a neighbour
+        edges = np.unique(np.concatenate([source * len(ids) + target, target * len(ids) + source]))
+        step = path[:-1] * len(ids) + path[1:]
+        goes = edges[np.minimum(np.searchsorted(edges, step), max(len(edges) - 1, 0))] == step if len(edges) else np.zeros(len(step), bool)
+        head = np.flatnonzero(np.append(True, ~goes))
+        size = np.diff(np.append(head, len(path)))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(ids), batch.column(0)[0].as_py())), pa.array(ids[path]), pa.array(np.repeat(ids[path[head]], size)), pa.array(np.arange(len(path)) - np.repeat(head, size)), pa.array(np.repeat(size, size))],
+            ["cell", "nid", "path", "pos", "size"],
+        )
+
+
+def join_paths(walked: DataFrame, graph: DataFrame, most: int) -> DataFrame:
+    """(path, top, lead, back): the joined path that each path is part of, the nodes before it there, and whether it runs backwards.
+
+    Every round each joined path chooses its nearest free end (ties by node ids) of another one with which it has at most
+    ``most`` nodes; pairs that choose each other are joined. Only ends and the edges between them are looked at.
+    """
+    ends = walked.where((F.col("pos") == 0) | (F.col("pos") == F.col("size") - 1)).select("nid", "path", (F.col("pos") == 0).alias("first"), (F.col("pos") == F.col("size") - 1).alias("last"))
+    pairs = graph.select("nid", F.explode("found").alias("x")).select(F.least("nid", "x.nid").alias("u"), F.greatest("nid", "x.nid").alias("v"), F.col("x.d").alias("d")).distinct()
+    side = lambda n, c: ends.select(F.col("nid").alias(n), F.col("path").alias(c + "path"), F.col("first").alias(c + "first"), F.col("last").alias(c + "last"))
+    edges = durable(pairs.join(side("u", "u"), "u").join(side("v", "v"), "v").where("upath <> vpath"))
+    parts = durable(walked.where("pos = 0").select("path", F.col("path").alias("top"), F.lit(0).cast("long").alias("lead"), F.lit(False).alias("back"), F.col("size"), F.col("size").alias("whole")))
+    while True:
+        of = lambda c: parts.select(F.col("path").alias(c + "path"), *[F.col(x).alias(c + x) for x in ("top", "lead", "back", "size", "whole")])
+        free = edges.join(of("u"), "upath").join(of("v"), "vpath").where((F.col("utop") != F.col("vtop")) & (F.col("uwhole") + F.col("vwhole") <= most))
+        # a node is free at the front or the rear of its joined path
+        front = lambda c: (F.col(c + "lead") == 0) & F.when(F.col(c + "back"), F.col(c + "last")).otherwise(F.col(c + "first"))
+        rear = lambda c: (F.col(c + "lead") + F.col(c + "size") == F.col(c + "whole")) & F.when(F.col(c + "back"), F.col(c + "first")).otherwise(F.col(c + "last"))
+        free = free.withColumns({"ufront": front("u"), "urear": rear("u"), "vfront": front("v"), "vrear": rear("v")}).where("(ufront OR urear) AND (vfront OR vrear)")
+        free = free.select("d", "u", "v", "utop", "vtop", "uwhole", "vwhole", "ufront", "urear", "vfront", "vrear")
+        both = [free.select(F.col(a + "top").alias("top"), F.struct("d", "u", "v").alias("e")) for a in "uv"]
+        best = both[0].unionByName(both[1]).groupBy("top").agg(F.min("e").alias("e"))
+        pick = lambda c: best.select(F.col("top").alias(c + "top"), F.col("e").alias(c + "e"))
+        chosen = free.join(pick("u"), "utop").join(pick("v"), "vtop").where((F.col("ue") == F.col("ve")) & (F.col("ue.u") == F.col("u")) & (F.col("ue.v") == F.col("v")))
+        # u's path is laid so that it ends at u, v's so that it begins at v
+        chosen = durable(chosen.select("utop", "vtop", "uwhole", "vwhole", (~F.col("urear")).alias("uturn"), (~F.col("vfront")).alias("vturn")))
+        if not chosen.count():
+            return parts.select("path", "top", "lead", "back")
+        new = chosen.select(F.col("utop").alias("old"), F.col("utop").alias("new"), F.col("uturn").alias("turn"), F.lit(0).cast("long").alias("shift"), (F.col("uwhole") + F.col("vwhole")).alias("sum")).unionByName(
+            chosen.select(F.col("vtop").alias("old"), F.col("utop").alias("new"), F.col("vturn").alias("turn"), F.col("uwhole").alias("shift"), (F.col("uwhole") + F.col("vwhole")).alias("sum"))
+        )
+        moved = parts.join(new, F.col("top") == F.col("old"), "left")
+        turn = F.coalesce("turn", F.lit(False))
+        lead = F.when(turn, F.col("whole") - F.col("lead") - F.col("size")).otherwise(F.col("lead")) + F.coalesce("shift", F.lit(0))
+        parts = durable(moved.select("path", F.coalesce("new", "top").alias("top"), lead.alias("lead"), (F.col("back") != turn).alias("back"), "size", F.coalesce("sum", "whole").alias("whole")))
+
+
+def neighbour_graph(nodes: DataFrame, k: int = 8, cell_nodes: int = 4096, probes: int = 4) -> DataFrame:
+    """(cell, nid, found) with the k nearest of each node (nid, vec), nearest first, by (distance, nid), among the cells that it is looked up in."""
     n = nodes.count()
     cells = 1
     while cells * cell_nodes < n and cells < MAX_CELLS:
         cells *= 2
-    sample = nodes.orderBy(F.xxhash64("nid"), "nid").limit(max(4096, 16 * cells)).select("vec").toPandas() if cells > 1 else None
-    points = _as_points(sample["vec"]) if sample is not None else np.zeros((0, DIMS))
-    tree = Tree(points, cells)
+    share = min(1.0, max(LEAST_SAMPLE, PER_CELL * cells) / max(n, 1))
+    sample = nodes.where(F.pmod(F.xxhash64("nid"), F.lit(1 << 30)) < int(share * (1 << 30))).orderBy("nid").select("vec").toPandas()["vec"] if cells > 1 else []
+    tree = Tree(Sparse([bytes(v) for v in sample]), cells)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(tree.cell(_matrix(batch.column(1)))), *batch.columns], ["cell", "nid", "vec"])
-
-    placed = durable(nodes.select("nid", "vec").mapInArrow(place, "cell long, nid long, vec binary"))
-    found = "array<struct<d:double,nid:long>>"
-    home = durable(placed.repartition("cell").sortWithinPartitions("cell").mapInArrow(_home_rows(tree, k), f"cell long, nid long, vec binary, radius double, found {found}"))
-    calls = home.where("radius IS NOT NULL").drop("found").unionByName(placed.withColumn("radius", F.lit(None).cast("double")))
-    away = calls.repartition("cell").sortWithinPartitions("cell").mapInArrow(_away_rows(k), f"nid long, found {found}")
-    own = home.where("radius IS NULL").select("nid", "cell", "found")
-    every = own.unionByName(away.withColumn("cell", F.lit(None).cast("long")))
-    return every.groupBy("nid").agg(F.max("cell").alias("cell"), F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, k).alias("found")).select("cell", "nid", "found")
-
+            for a in range(0, batch.num_rows, 1024):
+                part = batch.slice(a, 1024)
+                rows = Sparse(part.column(1).to_pylist())
+                home = tree.home(rows)
+                cell = tree.near(rows, np.arange(len(rows)), home, probes)
+                row = np.repeat(np.arange(len(rows)), cell.shape[1])
+                at = pa.array(row)
+                yield pa.RecordBatch.from_arrays([pa.array(cell.ravel()), part.column(0).take(at), pa.array(cell.ravel() == home[row]), part.column(1).take(at)], ["cell", "nid", "home", "vec"])
 
-def _as_points(values) -> np.ndarray:
-    return _whole(b"".join(bytes(v) for v in values))
+    placed = nodes.select("nid", "vec").mapInArrow(place, "cell long, nid long, home boolean, vec binary")
+    found = placed.repartition("cell").sortWithinPartitions("cell").mapInArrow(_cell_rows(k), f"cell long, nid long, found {_FOUND}")
+    return found.groupBy("nid").agg(F.max("cell").alias("cell"), F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, k).alias("found")).select("cell", "nid", "found")
 
 
 def document_nodes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -322,19 +356,26 @@ def document_nodes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return durable(rows.withColumn("nid", F.xxhash64("vec")))
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window_tokens: int = 2048, k: int = 8, cell_nodes: int = 16384) -> DataFrame:
-    """(block, window, part, id, token_start, token_end): what each window holds, in order; the id column keeps its name if it can."""
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window_tokens: int = 2048, k: int = 8, cell_nodes: int = 4096, probes: int = 4) -> DataFrame:
+    """(block, window, offset, id, token_start, token_end): what each window holds, in order; see the module's text."""
     rows = document_nodes(docs, id_col, text_col)
-    graph = neighbour_graph(rows.groupBy("nid").agg(F.min("vec").alias("vec")), k, cell_nodes)
-    path = graph.repartition("cell").sortWithinPartitions("cell").mapInArrow(_walk_rows, "cell long, nid long, place long")
-    line = Window.partitionBy("cell").orderBy("place", "id", "digest").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    laid = rows.select("id", "digest", "tokens", "nid").join(path, "nid").withColumn("stop", F.sum("tokens").over(line))
+    nodes = durable(rows.groupBy("nid").agg(F.min("vec").alias("vec")))
+    graph = durable(neighbour_graph(nodes, k, cell_nodes, probes))
+    walked = durable(graph.repartition("cell").sortWithinPartitions("cell").mapInArrow(_walk_rows, "cell long, nid long, path long, pos long, size long"))
+    joined = join_paths(walked, graph, cell_nodes)
+    place = F.col("lead") + F.when(F.col("back"), F.col("size") - 1 - F.col("pos")).otherwise(F.col("pos"))
+    order = walked.join(joined, "path").select("nid", "top", place.alias("place"))
+    tops = walked.where("pos = 0").select(F.col("path").alias("top"), "cell")
+    order = order.join(tops, "top")
+    line = Window.partitionBy("cell").orderBy("top", "place", "id", "digest").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    laid = rows.select("id", "digest", "tokens", "nid").join(order, "nid").withColumn("stop", F.sum("tokens").over(line))
     start = F.col("stop") - F.col("tokens")
     size = F.lit(window_tokens)
     parts = laid.select("cell", "id", "stop", start.alias("start"), F.explode(F.sequence(F.floor(start / size), F.floor((F.col("stop") - 1) / size))).alias("window"))
     begin = F.greatest(F.col("start"), F.col("window") * size)
     end = F.least(F.col("stop"), (F.col("window") + 1) * size)
+    block, window, offset, first, last = fresh([id_col], "block", "window", "offset", "token_start", "token_end")
     return parts.select(
-        F.col("cell").alias("block"), "window", (begin - F.col("window") * size).alias("offset"), F.col("id").alias(id_col),
-        (begin - F.col("start")).alias("token_start"), (end - F.col("start")).alias("token_end"),
+        F.col("cell").alias(block), F.col("window").alias(window), (begin - F.col("window") * size).alias(offset), F.col("id").alias(id_col),
+        (begin - F.col("start")).alias(first), (end - F.col("start")).alias(last),
     )

@@ -340,17 +340,67 @@ def test_packing_fills_windows(make):
     check_windows(rows, packing.pack(make(rows), window_tokens=64, k=4, cell_nodes=16).collect(), 64)
 
 
-def test_neighbour_graph_is_exact(make):
-    rng = random.Random(9)
-    nodes = packing.document_nodes(make([(i, " ".join(words(rng, 30))) for i in range(300)]))
-    graph = {r.nid: [(x.d, x.nid) for x in r.found] for r in packing.neighbour_graph(nodes.select("nid", "vec"), 5, 32).collect()}
-    rows = nodes.select("nid", "vec").collect()
-    x, ids = packing._as_points([r.vec for r in rows]), np.array([r.nid for r in rows])
-    d = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+def brute_neighbours(rows, k):
+    x = packing.Sparse([bytes(r.vec) for r in rows])
+    x = x.dense(np.arange(len(x))).astype(float) / x.size[:, None]
+    d, ids = 1 - np.round(x @ x.T, 9), np.array([r.nid for r in rows])
     np.fill_diagonal(d, np.inf)
-    for r in range(len(ids)):
-        order = np.lexsort((ids, d[r]))[:5]
-        assert graph[ids[r]] == [(d[r, o], ids[o]) for o in order]
+    return {ids[r]: [(d[r, o], ids[o]) for o in np.lexsort((ids, d[r]))[:k] if d[r, o] < 1] for r in range(len(ids))}
+
+
+def test_neighbours_in_all_cells_are_exact(make):
+    rng = random.Random(9)
+    nodes = packing.document_nodes(make([(i, " ".join(words(rng, 30, "abcd", (1, 4)))) for i in range(300)])).select("nid", "vec")
+    want = brute_neighbours(nodes.collect(), 5)
+    for cells, probes in ((32, 64), (4096, 1)):
+        got = {r.nid: [(x.d, x.nid) for x in r.found] for r in packing.neighbour_graph(nodes, 5, cells, probes).collect()}
+        assert got.keys() == want.keys() and all([n for _, n in got[i]] == [n for _, n in want[i]] and np.allclose([d for d, _ in got[i]], [d for d, _ in want[i]]) for i in want)
+
+
+def test_recall_of_neighbours_and_even_cells(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    nodes = packing.document_nodes(docs).groupBy("nid").agg(F.min("vec").alias("vec")).cache()
+    want = brute_neighbours(nodes.collect(), 8)
+    for cell_nodes, least in ((4096, 0.999), (128, 0.8)):
+        graph = packing.neighbour_graph(nodes, 8, cell_nodes).collect()
+        got = {r.nid: {x.nid for x in r.found} for r in graph}
+        assert sum(len(got[i] & {n for _, n in want[i]}) for i in want) >= least * sum(map(len, want.values()))
+        assert max(Counter(r.cell for r in graph).values()) <= 2 * cell_nodes
+    nodes.unpersist()
+
+
+def test_paths_are_joined_across_cells(spark):
+    """A chain of nodes in four cells comes out as one path, and longer ones than allowed are not made."""
+    chain = [(i % 4, i, [(0.1, i + 1)] if i < 15 else []) for i in range(16)]
+    graph = spark.createDataFrame(chain, "cell long, nid long, found array<struct<d:double,nid:long>>")
+    for most, least in ((100, 16), (8, 4)):
+        walked = graph.repartition("cell").sortWithinPartitions("cell").mapInArrow(packing._walk_rows, "cell long, nid long, path long, pos long, size long")
+        paths = packing.join_paths(walked, graph, most).collect()
+        size = Counter(r.top for r in paths)
+        assert least <= max(size.values()) <= most and len(paths) == 16
+        if most == 100:
+            order = [r.path for r in sorted(paths, key=lambda r: r.lead)]
+            assert order in (list(range(16)), list(range(15, -1, -1)))
+
+
+def used_edges(spark, rows, cell_nodes):
+    graph = packing.neighbour_graph(rows, 8, cell_nodes, 64).persist()
+    walked = graph.repartition("cell").sortWithinPartitions("cell").mapInArrow(packing._walk_rows, "cell long, nid long, path long, pos long, size long").persist()
+    tops = packing.join_paths(walked, graph, 4096).select("top").distinct().count()
+    return 1 - tops / rows.count()
+
+
+def test_use_of_edges_does_not_hang_on_cells(spark, make):
+    rng = random.Random(10)
+    rows = packing.document_nodes(make([(i, " ".join(words(random.Random(i // 12), 30)[:25] + words(rng, 6))) for i in range(480)])).select("nid", "vec").persist()
+    one, many = used_edges(spark, rows, 4096), used_edges(spark, rows, 16)
+    assert abs(one - many) < 0.05
+
+
+@pytest.mark.parametrize("name", ["window", "block", "offset", "token_end", "id", "nid"])
+def test_packing_keeps_the_name_of_ids(make, name):
+    out = packing.pack(make([(1, "one two three"), (2, "two three four")]).withColumnRenamed("id", "id_").withColumnRenamed("doc_id", name + "x").drop(name).withColumnRenamed(name + "x", name), id_col=name)
+    assert name in out.columns and len(set(out.columns)) == 6 and {r[name] for r in out.select(name).collect()} == {1, 2}
 
 
 def test_walk_visits_low_degree_first():
