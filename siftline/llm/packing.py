@@ -14,14 +14,14 @@
    node of lowest degree (ties by node id), goes on to the nearest unvisited neighbour while
    there is one, and then starts again. Then paths of all cells are joined end to end along the
    edges between their ends, nearest first, in rounds in which every path joins with one other
-   at most, until no edge joins two ends. Joined paths have at most ``cell_nodes`` nodes.
+   at most, until a round joins less than one in a hundred. Joined paths have at most ``cell_nodes`` nodes.
 4. Windows. A joined path belongs to the cell where its first piece lies. The documents of a
    cell's paths, in path order and copies in order of id, form one sequence of tokens that is
    cut every ``window_tokens``: all windows but a cell's last are full, and each token of the
    corpus is in exactly one window.
 
 A token is a run of characters other than ASCII white space. Texts are read once and never
-shuffled; four bytes for each distinct word of a document are.
+shuffled; two bytes for each distinct word of a document are, for each cell that it is looked up in.
 
 Defined results
 ---------------
@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from .arrays import U64, Words, as_strings, byte_view, grouped, slices
 from .common import col, durable, fresh, require
 
-SKETCH, DENSE, BLOCK = 4096, 512, 512
+SKETCH, DENSE, BLOCK = 4096, 1024, 256
 #: Every task holds the means of all cells (four kilobytes each); beyond 32 million distinct sketches cells grow instead.
 MAX_CELLS = 1 << 13
 #: Sampled nodes for each cell, and at least.
@@ -63,7 +63,10 @@ def count_tokens(texts: pa.Array) -> np.ndarray:
 
 
 def sketches(texts: pa.Array) -> list[bytes]:
-    """The nonzero cells of each text's sketch as (cell, weight) in two bytes each; nothing where there are no words."""
+    """The nonzero cells of each text's sketch in two bytes each: the step from the cell before, and the weight; nothing where there are no words.
+
+    Steps of more than 255 are made up of steps to cells of weight 0.
+    """
     out: list[bytes] = []
     for a, b in slices(texts):
         words = Words(texts.slice(a, b - a))
@@ -72,9 +75,17 @@ def sketches(texts: pa.Array) -> list[bytes]:
         cell = words.doc * SKETCH + (words.hash & U64(SKETCH - 1)).astype(np.int64)
         sketch = np.bincount(cell, weights=weight, minlength=(b - a) * SKETCH)
         at = np.flatnonzero(sketch)
-        damped = np.copysign(np.floor(np.log2(np.abs(sketch[at]) + 1) * 16 + 0.5), sketch[at]).astype(np.int16)
-        pairs = np.stack([(at % SKETCH).astype(np.uint16), damped.view(np.uint16)], axis=1).tobytes()
-        edge = (4 * np.searchsorted(at, np.arange(b - a + 1) * SKETCH)).tolist()
+        damped = np.copysign(np.minimum(np.floor(np.log2(np.abs(sketch[at]) + 1) * 8 + 0.5), 127), sketch[at])
+        first = np.searchsorted(at, np.arange(b - a + 1) * SKETCH)
+        step = np.diff(at, prepend=0)
+        heads = first[:-1][first[:-1] < first[1:]]
+        step[heads] = at[heads] % SKETCH + 1
+        fill = (step - 1) // 255
+        last = np.cumsum(fill + 1) - 1
+        pairs = np.tile(np.array([255, 0], np.uint8), (int(last[-1]) + 1 if len(last) else 0, 1))
+        pairs[last, 0], pairs[last, 1] = step - 255 * fill, damped.astype(np.int8).view(np.uint8)
+        edge = (2 * np.append(0, last + 1)[first]).tolist()
+        pairs = pairs.tobytes()
         out += [pairs[x:y] for x, y in zip(edge, edge[1:])]
     return out
 
@@ -89,10 +100,14 @@ class Sparse:
     """Rows of sketches: ``begin`` (n+1), ``cell``, ``weight`` and the rows' lengths."""
 
     def __init__(self, packed: list[bytes]):
-        pairs = np.frombuffer(b"".join(packed), np.uint16).reshape(-1, 2)
-        self.begin = np.append(0, np.cumsum(np.array([len(x) // 4 for x in packed], np.int64)))
-        self.cell, self.weight = pairs[:, 0].astype(np.int64), pairs[:, 1].view(np.int16).astype(np.float32)
-        self.row = np.repeat(np.arange(len(packed)), np.diff(self.begin))
+        pairs = np.frombuffer(b"".join(packed), np.uint8).reshape(-1, 2)
+        begin = np.append(0, np.cumsum(np.array([len(x) // 2 for x in packed], np.int64)))
+        row = np.repeat(np.arange(len(packed), dtype=np.int32), np.diff(begin))
+        total = np.append(0, np.cumsum(pairs[:, 0], dtype=np.int64))
+        weight = pairs[:, 1].view(np.int8)
+        real = weight != 0
+        self.cell, self.weight, self.row = (total[1:] - total[begin[row]] - 1)[real].astype(np.int32), weight[real].astype(np.float32), row[real]
+        self.begin = np.searchsorted(self.row, np.arange(len(packed) + 1))
         size = np.bincount(self.row, weights=self.weight.astype(np.float64) ** 2, minlength=len(packed))
         self.size = np.sqrt(np.maximum(size, 1e-30))
 
@@ -192,12 +207,12 @@ def nearest(members: Sparse, ids: np.ndarray, queries: Sparse, query_ids: np.nda
         dot = (x @ dense.T).astype(np.float64).ravel()
         cell, weight, row = cell[~often], weight[~often], row[~often]
         width = post_begin[cell + 1] - post_begin[cell]
-        cuts = np.searchsorted(np.cumsum(width), np.arange(0, width.sum() + (1 << 22), 1 << 22), side="left")
-        for lo, hi in zip(cuts, [*cuts[1:], len(cell)]):  # some four million products at a time
+        cuts = np.searchsorted(np.cumsum(width), np.arange(0, width.sum() + (1 << 19), 1 << 19), side="left")
+        for lo, hi in zip(cuts, [*cuts[1:], len(cell)]):  # half a million products at a time
             w = width[lo:hi]
             if w.sum():
                 place = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w) + np.repeat(post_begin[cell[lo:hi]], w)
-                dot += np.bincount(np.repeat(row[lo:hi] * m, w) + post_row[place], weights=np.repeat(weight[lo:hi], w) * post_weight[place], minlength=len(dot))
+                dot += np.bincount(np.repeat(row[lo:hi].astype(np.int64) * m, w) + post_row[place], weights=np.repeat(weight[lo:hi], w) * post_weight[place], minlength=len(dot))
         like = dot.reshape(len(rows), m) / queries.size[rows, None] / members.size[None]
         like[query_ids[rows][:, None] == ids[None]] = -np.inf
         low = np.partition(like, m - k, axis=1)[:, m - k] if m > k else np.full(len(rows), -np.inf)
@@ -295,6 +310,7 @@ def join_paths(walked: DataFrame, graph: DataFrame, most: int) -> DataFrame:
     pairs = graph.select("nid", F.explode("found").alias("x")).select(F.least("nid", "x.nid").alias("u"), F.greatest("nid", "x.nid").alias("v"), F.col("x.d").alias("d")).distinct()
     side = lambda n, c: ends.select(F.col("nid").alias(n), F.col("path").alias(c + "path"), F.col("first").alias(c + "first"), F.col("last").alias(c + "last"))
     edges = durable(pairs.join(side("u", "u"), "u").join(side("v", "v"), "v").where("upath <> vpath"))
+    left = walked.where("pos = 0").count()
     parts = durable(walked.where("pos = 0").select("path", F.col("path").alias("top"), F.lit(0).cast("long").alias("lead"), F.lit(False).alias("back"), F.col("size"), F.col("size").alias("whole")))
     while True:
         of = lambda c: parts.select(F.col("path").alias(c + "path"), *[F.col(x).alias(c + x) for x in ("top", "lead", "back", "size", "whole")])
@@ -310,18 +326,20 @@ def join_paths(walked: DataFrame, graph: DataFrame, most: int) -> DataFrame:
         chosen = free.join(pick("u"), "utop").join(pick("v"), "vtop").where((F.col("ue") == F.col("ve")) & (F.col("ue.u") == F.col("u")) & (F.col("ue.v") == F.col("v")))
         # u's path is laid so that it ends at u, v's so that it begins at v
         chosen = durable(chosen.select("utop", "vtop", "uwhole", "vwhole", (~F.col("urear")).alias("uturn"), (~F.col("vfront")).alias("vturn")))
-        if not chosen.count():
-            return parts.select("path", "top", "lead", "back")
+        joins = chosen.count()
         new = chosen.select(F.col("utop").alias("old"), F.col("utop").alias("new"), F.col("uturn").alias("turn"), F.lit(0).cast("long").alias("shift"), (F.col("uwhole") + F.col("vwhole")).alias("sum")).unionByName(
             chosen.select(F.col("vtop").alias("old"), F.col("utop").alias("new"), F.col("vturn").alias("turn"), F.col("uwhole").alias("shift"), (F.col("uwhole") + F.col("vwhole")).alias("sum"))
         )
         moved = parts.join(new, F.col("top") == F.col("old"), "left")
         turn = F.coalesce("turn", F.lit(False))
         lead = F.when(turn, F.col("whole") - F.col("lead") - F.col("size")).otherwise(F.col("lead")) + F.coalesce("shift", F.lit(0))
-        parts = durable(moved.select("path", F.coalesce("new", "top").alias("top"), lead.alias("lead"), (F.col("back") != turn).alias("back"), "size", F.coalesce("sum", "whole").alias("whole")))
+        parts = durable(moved.select("path", F.coalesce("new", "top").alias("top"), lead.alias("lead"), (F.col("back") != turn).alias("back"), "size", F.coalesce("sum", "whole").alias("whole"))) if joins else parts
+        left -= joins
+        if joins * 100 <= left:
+            return parts.select("path", "top", "lead", "back")
 
 
-def neighbour_graph(nodes: DataFrame, k: int = 8, cell_nodes: int = 4096, probes: int = 4) -> DataFrame:
+def neighbour_graph(nodes: DataFrame, k: int = 8, cell_nodes: int = 4096, probes: int = 2) -> DataFrame:
     """(cell, nid, found) with the k nearest of each node (nid, vec), nearest first, by (distance, nid), among the cells that it is looked up in."""
     n = nodes.count()
     cells = 1
@@ -356,7 +374,7 @@ def document_nodes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return durable(rows.withColumn("nid", F.xxhash64("vec")))
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window_tokens: int = 2048, k: int = 8, cell_nodes: int = 4096, probes: int = 4) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window_tokens: int = 2048, k: int = 8, cell_nodes: int = 4096, probes: int = 2) -> DataFrame:
     """(block, window, offset, id, token_start, token_end): what each window holds, in order; see the module's text."""
     rows = document_nodes(docs, id_col, text_col)
     nodes = durable(rows.groupBy("nid").agg(F.min("vec").alias("vec")))
