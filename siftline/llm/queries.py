@@ -35,7 +35,7 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = deduplicated_archive(responses(table(spark, sf_dir, "pages")))
-    return found.select(F.col("source_id").cast("long").alias("page_id"), "type", "record_id", "url", "digest", "refers_to", "refers_to_uri", "content_length", "payload")
+    return found.select(F.col("source_id").cast("long").alias("page_id"), "type", "record_id", "url", "digest", "refers_to", "refers_to_uri", "content_length", F.col("payload").cast("string").alias("payload"))
 
 
 def op5_related_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +58,9 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents"), length_col="n_chars")
 
 
-def op10_sentencepiece(spark: SparkSession, sf_dir: str, model: str = "/opt/tokenizers/piece_bpe_32k.model") -> DataFrame:
+def op10_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
+    """``model`` is a SentencePiece file; without one, the session names it or the folder of public tokenizers has it."""
+    model = model or spark.conf.get("spark.siftline.sentencepiece.model", "/opt/tokenizers/piece_bpe_32k.model")
     return encode(table(spark, sf_dir, "documents").select("doc_id", "text"), Pieces.load(model), decoded="decoded", keep_text=False)
 
 

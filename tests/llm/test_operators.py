@@ -362,7 +362,7 @@ def test_recall_of_neighbours_and_even_cells(spark):
     nodes = packing.document_nodes(docs).groupBy("nid").agg(F.min("vec").alias("vec")).cache()
     want = brute_neighbours(nodes.collect(), 8)
     for cell_nodes, least in ((4096, 0.999), (128, 0.8)):
-        graph = packing.neighbour_graph(nodes, 8, cell_nodes).collect()
+        graph = packing.neighbour_graph(nodes, 8, cell_nodes, 4).collect()
         got = {r.nid: {x.nid for x in r.found} for r in graph}
         assert sum(len(got[i] & {n for _, n in want[i]}) for i in want) >= least * sum(map(len, want.values()))
         assert max(Counter(r.cell for r in graph).values()) <= 2 * cell_nodes
@@ -540,7 +540,7 @@ def test_archives_hold_every_payload_once(spark):
         if r.type == "revisit":
             assert r.payload is None and r.refers_to == whole[r.digest].record_id and r.refers_to_uri == whole[r.digest].url
     assert len({r.record_id for r in out}) == len(out)
-    assert {r.payload for r in whole.values()} == {(r[2] or "") for r in rows}
+    assert {bytes(r.payload) for r in whole.values()} == {(r[2] or "").encode() for r in rows}
     assert [r.url for r in out if r.source_id == "91"] == ["u%0D%0AX:%20y"]
 
 
@@ -556,3 +556,29 @@ def test_given_revisits_are_resolved(spark):
 def test_archives_roll_over(spark):
     made = warc.write_archives(warc.resolve(warc.responses(pages(spark, [(i, "u", str(i) * 500, None, None) for i in range(50)]))).coalesce(1), warc.archive_folder(spark), max_bytes=2000)
     assert made.count() > 1 and made.agg(F.sum("records")).first()[0] == 50
+
+
+def test_other_records_and_binary_payloads(spark):
+    raw = bytes(range(256)) * 3 + b"\r\n\r\nrest"
+    rows = [
+        ("1", "response", "http://a", "2020-01-02T00:00:00Z", None, raw, None, None, None), ("2", "resource", "http://b", "2020-01-01T00:00:00Z", None, raw, None, None, None), ("3", "response", "http://c", "2020-01-01T00:00:00Z", None, raw, None, None, None),
+        ("4", "request", "http://a", None, None, b"GET / HTTP/1.1\r\n\r\n", None, None, None), ("5", "request", "http://b", None, None, b"GET / HTTP/1.1\r\n\r\n", None, None, None), ("6", "metadata", "http://a", None, None, b"k: v", None, None, None),
+        ("7", "metadata", "http://b", None, None, raw, None, None, None), ("8", None, "http://d", None, None, None, None, None, None), ("9", "response", "http://e", None, None, b"HTTP/1.1 inside", None, None, None),
+    ]
+    out = {r.source_id: r for r in warc.deduplicated_archive(spark.createDataFrame(rows, warc.RECORD)).collect()}
+    assert {i: r.type for i, r in out.items()} == {"1": "revisit", "2": "resource", "3": "revisit", "4": "request", "5": "request", "6": "metadata", "7": "metadata", "8": "response", "9": "response"}
+    assert all(out[r[0]].payload == r[5] for r in rows if r[0] in "245679") and out["8"].payload == b""
+    assert {out[i].refers_to for i in "13"} == {out["2"].record_id} and len({r.record_id for r in out.values()}) == 9  # equal dates: the lesser id is the original
+
+
+def test_folders_of_other_file_systems():
+    import pyarrow.fs as pafs
+
+    from siftline.llm.common import file_system
+
+    assert file_system("file:/tmp/x")[1] == file_system("file:///tmp/x")[1] == "/tmp/x"
+    assert file_system("dbfs:/tmp/x")[1] == "/dbfs/tmp/x"
+    try:
+        assert isinstance(file_system("s3a://bucket/x?region=eu-west-1")[0], pafs.S3FileSystem)
+    except (ImportError, AttributeError):
+        pass  # built without S3
