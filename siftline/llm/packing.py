@@ -197,6 +197,7 @@ def nearest(members: Sparse, ids: np.ndarray, queries: Sparse, query_ids: np.nda
     order = np.argsort(members.cell[~often], kind="stable")
     post_row, post_weight = members.row[~often][order], members.weight[~often][order]
     post_begin = np.searchsorted(members.cell[~often][order], np.arange(SKETCH + 1))
+    scale = (1 / members.size).astype(np.float32)[None]
     for a in range(0, n, BLOCK):
         rows = np.arange(a, min(a + BLOCK, n))
         at, row = queries.entries(rows)
@@ -204,20 +205,26 @@ def nearest(members: Sparse, ids: np.ndarray, queries: Sparse, query_ids: np.nda
         often = slot[cell] >= 0
         x = np.zeros((len(rows), len(common)), np.float32)
         x[row[often], slot[cell[often]]] = weight[often]
-        dot = (x @ dense.T).astype(np.float64).ravel()
+        dot = x @ dense.T  # whole numbers, exact in float32
         cell, weight, row = cell[~often], weight[~often], row[~often]
         width = post_begin[cell + 1] - post_begin[cell]
-        cuts = np.searchsorted(np.cumsum(width), np.arange(0, width.sum() + (1 << 19), 1 << 19), side="left")
-        for lo, hi in zip(cuts, [*cuts[1:], len(cell)]):  # half a million products at a time
-            w = width[lo:hi]
+        total = np.append(0, np.cumsum(np.bincount(row, weights=width, minlength=len(rows)))).astype(np.int64)
+        lo = 0
+        while lo < len(rows):  # rows of about half a million products at a time
+            hi = max(lo + 1, int(np.searchsorted(total, total[lo] + (1 << 19), side="right")) - 1)
+            part = slice(*np.searchsorted(row, [lo, hi]))
+            w = width[part]
             if w.sum():
-                place = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w) + np.repeat(post_begin[cell[lo:hi]], w)
-                dot += np.bincount(np.repeat(row[lo:hi].astype(np.int64) * m, w) + post_row[place], weights=np.repeat(weight[lo:hi], w) * post_weight[place], minlength=len(dot))
-        like = dot.reshape(len(rows), m) / queries.size[rows, None] / members.size[None]
+                place = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w) + np.repeat(post_begin[cell[part]], w)
+                at = np.repeat((row[part] - lo).astype(np.int64) * m, w) + post_row[place]
+                dot[lo:hi] += np.bincount(at, weights=np.repeat(weight[part], w) * post_weight[place], minlength=(hi - lo) * m).reshape(hi - lo, m)
+            lo = hi
+        like = dot * scale
         like[query_ids[rows][:, None] == ids[None]] = -np.inf
-        low = np.partition(like, m - k, axis=1)[:, m - k] if m > k else np.full(len(rows), -np.inf)
-        r, c = np.nonzero((like >= low[:, None]) & (like > 0))
-        d = 1 - np.round(like[r, c], 9)
+        low = np.partition(like, m - k, axis=1)[:, m - k] if m > k else np.full(len(rows), -np.inf, np.float32)
+        low -= np.abs(low) * np.float32(1e-5)  # rounding decides nothing: ties and order come from exact products
+        r, c = np.nonzero((like >= low[:, None]) & (dot > 0) & np.isfinite(like))
+        d = 1 - np.round(dot[r, c].astype(np.float64) / (queries.size[rows[r]] * members.size[c]), 9)
         by = np.lexsort((ids[c], d, r))
         r, c, d = r[by], c[by], d[by]
         rank = np.arange(len(r)) - np.searchsorted(r, r)
