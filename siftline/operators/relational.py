@@ -207,9 +207,11 @@ def nearest(df: DataFrame, query: Column, vector: str, key: str, k: int) -> Data
 
 
 def cosine(a: Column, b: Column) -> Column:
+    """Cosine of two vectors; null beside a zero vector."""
+
     def total(x: Column) -> Column:
         return F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
 
     dot = total(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")))
     size = lambda v: F.sqrt(total(F.transform(v, lambda x: x.cast("double") * x.cast("double"))))
-    return dot / (size(a) * size(b))
+    return F.try_divide(dot, size(a) * size(b))

@@ -20,10 +20,12 @@ LABEL_SCHEMA = T.StructType(
 
 
 def written(df: DataFrame, path: str, kind: str) -> DataFrame | None:
-    """What a sink holds, or None if it isn't there yet."""
+    """What a sink holds, or None if it isn't there yet; one that can't be read is an error."""
     try:
         return df.sparkSession.read.format(kind).load(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
 
 

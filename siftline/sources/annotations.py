@@ -12,9 +12,9 @@ ALLOWED = {("START", "title"), ("title", "abstract"), ("abstract", "mention"), (
 
 
 def line_kind(line: Column) -> Column:
-    return (
-        F.when(F.trim(line) == "", "blank").when(line.rlike(r"^[0-9]+\|t\|"), "title").when(line.rlike(r"^[0-9]+\|a\|"), "abstract").when(F.size(F.split(line, "\t", -1)) == 6, "mention").otherwise("unknown")
-    )
+    """blank, title, abstract, mention or unknown; a mention has six cells, the first three numbers."""
+    mention = line.rlike(r"^[0-9]{1,18}\t[0-9]{1,9}\t[0-9]{1,9}\t") & (F.size(F.split(line, "\t", -1)) == 6)
+    return F.when(F.trim(line) == "", "blank").when(line.rlike(r"^[0-9]{1,18}\|t\|"), "title").when(line.rlike(r"^[0-9]{1,18}\|a\|"), "abstract").when(mention, "mention").otherwise("unknown")
 
 
 def pubtator_lines(df: DataFrame) -> DataFrame:
