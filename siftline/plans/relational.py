@@ -75,21 +75,21 @@ def section_markdown(t: Tables) -> DataFrame:
 
 
 @query("prompts", """
-    SELECT doc_id, concat_ws(',', lang, source) AS meta, '{''instruction'': ''clean'',''text_to_transform'': ''' || text[1:20] || '''}' AS request, 'Read: ' || text[1:20] || '. Answer: x' AS filled FROM documents
+    SELECT doc_id, concat_ws(',', lang, source) AS meta, '{''instruction'': ''clean'',''text_to_transform'': ''' || text || '''}' AS request, 'Read: ' || text || '. Answer: x' AS filled FROM documents
 """)
 def prompts(t: Tables) -> DataFrame:
     from ..operators.models import after_marker, fill_template, prompt
 
-    head = F.substring("text", 1, 20)
+    head = F.col("text")
     rows = t.documents.select("doc_id", F.concat_ws(",", "lang", "source").alias("meta"), prompt(F.lit("clean"), head).alias("request"), fill_template("Read: [INPUT]. Answer: x", head).alias("filled"))
     return rows.withColumn("filled", F.concat(F.substring_index("filled", "Answer:", 1), F.lit("Answer:"), after_marker(F.col("filled"), "Answer:")))
 
 
-@query("exploded_steps", "SELECT doc_id, k, CASE k WHEN 0 THEN upper(text) ELSE reverse(upper(text)) END AS text FROM (SELECT doc_id, replace(text[1:50], 'ß', 'ss') AS text FROM documents WHERE text <> '') CROSS JOIN (SELECT unnest([0, 1])::BIGINT AS k)")
+@query("exploded_steps", "SELECT doc_id, k, CASE k WHEN 0 THEN upper(text) ELSE reverse(upper(text)) END AS text FROM (SELECT doc_id, replace(text, 'ß', 'ss') AS text FROM documents WHERE text <> '') CROSS JOIN (SELECT unnest([0, 1])::BIGINT AS k)")
 def exploded_steps(t: Tables) -> DataFrame:
     from ..operators.models import ModelSettings, run_model
 
-    rows = t.documents.where("text <> ''").select("doc_id", F.replace(F.substring("text", 1, 50), F.lit("ß"), F.lit("ss")).alias("text"))
+    rows = t.documents.where("text <> ''").select("doc_id", F.replace("text", F.lit("ß"), F.lit("ss")).alias("text"))
     out = run_model(rows, "text", ModelSettings(instructions=("upper", "reverse")))
     return out.select("doc_id", F.posexplode("steps").alias("k", "text")).withColumn("k", F.col("k").cast("long"))
 
@@ -119,11 +119,11 @@ def resume_ordered(t: Tables) -> DataFrame:
 
 @query("label_join_quality", """
     SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, coalesce(d.source, 'none') || ':' || coalesce(l.quality::VARCHAR, '-') AS combined
-    FROM (SELECT * FROM documents WHERE doc_id % 2 = 0) d FULL JOIN labels l ON d.doc_id = l.doc_id
+    FROM documents d FULL JOIN labels l ON d.doc_id = l.doc_id
 """)
 def label_join_quality(t: Tables) -> DataFrame:
     combined = F.concat(F.coalesce("source", F.lit("none")), F.lit(":"), F.coalesce(F.col("quality").cast("string"), F.lit("-")))
-    return O.outer_combine(t.documents.where("doc_id % 2 = 0"), t.labels, ["doc_id"], {"combined": combined})
+    return O.outer_combine(t.documents, t.labels, ["doc_id"], {"combined": combined})
 
 
 @query("inner_on_index", "SELECT d.doc_id, quality, toxic FROM documents d JOIN labels l USING (doc_id)")
