@@ -6,10 +6,12 @@
 2. Neighbours. A tree of median splits, fitted on a bounded sample, cuts the nodes into cells
    of about ``cell_nodes``, whose sizes are even however alike the nodes are. A node belongs to
    one cell and is looked up in the ``probes`` cells whose sample's mean is nearest to it, its
-   own among them. Inside a cell the search is exact on the whole sketch: the numbers that most
-   nodes have are multiplied densely, the others by their postings. All weights are whole
-   numbers, so products are the same in any order. With one cell the graph is exact; how much
-   more cells find of it is measured in README.
+   own among them. Where a cell is near to very many nodes, their lookups are cut into groups,
+   each with all members. Inside a cell the search is exact on the whole sketch: the numbers
+   that more than one in ``SELDOM`` members have are multiplied densely, however many they
+   are, the others by their postings. All weights are whole numbers, so products are the same
+   in any order. With one cell the graph is exact; how much more cells find of it is measured
+   in README.
 3. Paths. In each cell, over the undirected edges inside it, a walk starts at the unvisited
    node of lowest degree (ties by node id), goes on to the nearest unvisited neighbour while
    there is one, and then starts again. Then paths of all cells are joined end to end along the
@@ -43,7 +45,11 @@ from pyspark.sql import functions as F
 from .arrays import U64, Words, as_strings, byte_view, grouped, slices
 from .common import col, durable, fresh, require
 
-SKETCH, DENSE, BLOCK = 4096, 1024, 256
+SKETCH, BLOCK = 4096, 256
+#: Numbers that more than one in SELDOM members have are multiplied densely: a dense product costs some 600 times less than one of a posting.
+SELDOM = 24
+#: Products of postings at a time; members up to which all products of a cell are held (100 MB).
+PRODUCTS, SQUARE = 1 << 17, 5120
 #: Every task holds the means of all cells (four kilobytes each); beyond 32 million distinct sketches cells grow instead.
 MAX_CELLS = 1 << 13
 #: Sampled nodes for each cell, and at least.
@@ -181,56 +187,95 @@ class Tree:
         return np.take_along_axis(some, order, axis=1)
 
 
-def nearest(members: Sparse, ids: np.ndarray, queries: Sparse, query_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(distances, ids) of the k nearest members of each query by (1 - cosine, id), itself left out; inf and 0 pad. Only what shares a cell counts."""
-    n, m = len(queries), len(members)
-    best, who = np.full((n, k), np.inf), np.zeros((n, k), np.int64)
-    if not n or not m:
-        return best, who
-    count = np.bincount(members.cell, minlength=SKETCH)
-    common = np.argsort(-count, kind="stable")[:DENSE]
-    slot = np.full(SKETCH, -1, np.int64)
-    slot[common] = np.arange(len(common))
-    often = slot[members.cell] >= 0
-    dense = np.zeros((m, len(common)), np.float32)
-    dense[members.row[often], slot[members.cell[often]]] = members.weight[often]
-    order = np.argsort(members.cell[~often], kind="stable")
-    post_row, post_weight = members.row[~often][order], members.weight[~often][order]
-    post_begin = np.searchsorted(members.cell[~often][order], np.arange(SKETCH + 1))
-    scale = (1 / members.size).astype(np.float32)[None]
-    for a in range(0, n, BLOCK):
-        rows = np.arange(a, min(a + BLOCK, n))
+class Cell:
+    """Members of a cell, laid out for products with queries: what most of them have densely, the rest by its postings."""
+
+    def __init__(self, members: Sparse, ids: np.ndarray):
+        self.members, self.ids, self.order = members, ids, np.argsort(ids)
+        common = np.flatnonzero(np.bincount(members.cell, minlength=SKETCH) * SELDOM > len(members))
+        self.slot = np.full(SKETCH, -1, np.int64)
+        self.slot[common] = np.arange(len(common))
+        often = self.slot[members.cell] >= 0
+        self.dense = np.zeros((len(members), len(common)), np.float32)
+        self.dense[members.row[often], self.slot[members.cell[often]]] = members.weight[often]
+        order = np.argsort(members.cell[~often], kind="stable")
+        self.post_row, self.post_weight = members.row[~often][order].astype(np.int64), members.weight[~often][order].astype(np.float64)
+        edges = np.searchsorted(members.cell[~often][order], np.arange(SKETCH + 1))
+        self.begin, self.end = edges[:-1], edges[1:]
+        self.scale = (1 / members.size).astype(np.float32)[None]
+
+    def products(self, queries: Sparse, rows: np.ndarray, begin: np.ndarray | None = None, least: int = 0) -> np.ndarray:
+        """Whole numbers, exact in float32: of the queries ``rows`` with the members from ``least`` on, whose postings start at ``begin``."""
+        begin = self.begin if begin is None else begin
+        m = len(self.members) - least
         at, row = queries.entries(rows)
-        cell, weight = queries.cell[at], queries.weight[at]
-        often = slot[cell] >= 0
-        x = np.zeros((len(rows), len(common)), np.float32)
-        x[row[often], slot[cell[often]]] = weight[often]
-        dot = x @ dense.T  # whole numbers, exact in float32
-        cell, weight, row = cell[~often], weight[~often], row[~often]
-        width = post_begin[cell + 1] - post_begin[cell]
+        slot, cell, weight = self.slot[queries.cell[at]], queries.cell[at], queries.weight[at]
+        often = slot >= 0
+        x = np.zeros((len(rows), self.dense.shape[1]), np.float32)
+        x[row[often], slot[often]] = weight[often]
+        dot = x @ self.dense[least:].T
+        cell, weight, row = cell[~often], weight[~often].astype(np.float64), row[~often]
+        width = self.end[cell] - begin[cell]
         total = np.append(0, np.cumsum(np.bincount(row, weights=width, minlength=len(rows)))).astype(np.int64)
         lo = 0
-        while lo < len(rows):  # rows of about half a million products at a time
-            hi = max(lo + 1, int(np.searchsorted(total, total[lo] + (1 << 19), side="right")) - 1)
+        while lo < len(rows):  # rows of about PRODUCTS products at a time, which stay in the cache
+            hi = max(lo + 1, int(np.searchsorted(total, total[lo] + PRODUCTS, side="right")) - 1)
             part = slice(*np.searchsorted(row, [lo, hi]))
             w = width[part]
             if w.sum():
-                place = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w) + np.repeat(post_begin[cell[part]], w)
-                at = np.repeat((row[part] - lo).astype(np.int64) * m, w) + post_row[place]
-                dot[lo:hi] += np.bincount(at, weights=np.repeat(weight[part], w) * post_weight[place], minlength=(hi - lo) * m).reshape(hi - lo, m)
+                place = np.repeat(begin[cell[part]] - np.cumsum(w) + w, w)
+                place += np.arange(len(place))
+                to = np.repeat((row[part] - lo) * m - least, w)
+                to += self.post_row[place]
+                product = np.repeat(weight[part], w)
+                product *= self.post_weight[place]
+                dot[lo:hi] += np.bincount(to, weights=product, minlength=(hi - lo) * m).reshape(hi - lo, m)
             lo = hi
-        like = dot * scale
-        like[query_ids[rows][:, None] == ids[None]] = -np.inf
-        low = np.partition(like, m - k, axis=1)[:, m - k] if m > k else np.full(len(rows), -np.inf, np.float32)
+        return dot
+
+    def best(self, dot: np.ndarray, size: np.ndarray, query_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(distances, ids) of the k nearest members of queries with these products, lengths and ids, themselves left out; inf and 0 pad."""
+        n, m = dot.shape
+        best, who = np.full((n, k), np.inf), np.zeros((n, k), np.int64)
+        like = dot * self.scale
+        own = self.order[np.minimum(np.searchsorted(self.ids, query_ids, sorter=self.order), m - 1)]
+        own, row = own[self.ids[own] == query_ids], np.flatnonzero(self.ids[own] == query_ids)
+        like[row, own] = -np.inf
+        low = np.partition(like, m - k, axis=1)[:, m - k] if m > k else np.full(n, -np.inf, np.float32)
         low -= np.abs(low) * np.float32(1e-5)  # rounding decides nothing: ties and order come from exact products
-        r, c = np.nonzero((like >= low[:, None]) & (dot > 0) & np.isfinite(like))
-        d = 1 - np.round(dot[r, c].astype(np.float64) / (queries.size[rows[r]] * members.size[c]), 9)
-        by = np.lexsort((ids[c], d, r))
+        r, c = np.nonzero(like >= np.maximum(low, np.float32(1e-6))[:, None])  # a product of at least 1 gives 1e-4
+        d = 1 - np.round(dot[r, c].astype(np.float64) / (size[r] * self.members.size[c]), 9)
+        by = np.lexsort((self.ids[c], d, r))
         r, c, d = r[by], c[by], d[by]
         rank = np.arange(len(r)) - np.searchsorted(r, r)
         top = rank < k
-        best[a + r[top], rank[top]], who[a + r[top], rank[top]] = d[top], ids[c[top]]
-    return best, who
+        best[r[top], rank[top]], who[r[top], rank[top]] = d[top], self.ids[c[top]]
+        return best, who
+
+    def among(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k nearest other members of each member. A product serves both of its members where the cell's products fit into memory."""
+        m = len(self.members)
+        if m > SQUARE:
+            return nearest(self, self.members, self.ids, k)
+        found, begin = [], self.begin.copy()
+        dot = np.zeros((m, m), np.float32)
+        for a in range(0, m, BLOCK):
+            b = min(a + BLOCK, m)
+            dot[a:b, a:] = self.products(self.members, np.arange(a, b), begin, a)
+            dot[b:, a:b] = dot[a:b, b:].T
+            found.append(self.best(dot[a:b], self.members.size[a:b], self.ids[a:b], k))
+            cell = self.members.cell[self.members.begin[a] : self.members.begin[b]]
+            begin += np.bincount(cell[self.slot[cell] < 0], minlength=SKETCH)
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def nearest(cell: Cell, queries: Sparse, query_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(distances, ids) of the k nearest members of each query by (1 - cosine, id), itself left out; inf and 0 pad. Only what shares a number counts."""
+    found = [(np.zeros((0, k)), np.zeros((0, k), np.int64))]
+    for a in range(0, len(queries), BLOCK):
+        rows = np.arange(a, min(a + BLOCK, len(queries)))
+        found.append(cell.best(cell.products(queries, rows), queries.size[rows], query_ids[rows], k))
+    return tuple(np.concatenate(x) for x in zip(*found))
 
 
 _FOUND = "array<struct<d:double,nid:long>>"
@@ -243,19 +288,26 @@ def _lists(best: np.ndarray, who: np.ndarray) -> pa.Array:
 
 
 def _cell_rows(k: int):
-    """(cell, nid, home, vec) sorted by cell to (cell, nid, found); the cell is null where it isn't the node's own."""
+    """(group, cell, nid, member, asks, vec) sorted by group to (cell, nid, found) of those that ask; the cell is null where it isn't the node's own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in grouped(batches):
-            ids, home = batch.column(1).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)
-            packed = batch.column(3)
-            own = np.flatnonzero(home)
-            members = Sparse(packed.take(pa.array(own)).to_pylist())
-            for a in range(0, len(ids), 4096):
-                some = slice(a, min(a + 4096, len(ids)))
-                best, who = nearest(members, ids[own], Sparse(packed.slice(a, some.stop - a).to_pylist()), ids[some], k)
-                cell = pa.array(batch.column(0).to_numpy()[some], mask=~home[some])
-                yield pa.RecordBatch.from_arrays([cell, batch.column(1).slice(a, some.stop - a), _lists(best, who)], ["cell", "nid", "found"])
+            home, ids = batch.column(1), batch.column(2).to_numpy()
+            member, asks = (batch.column(x).to_numpy(zero_copy_only=False) for x in (3, 4))
+            packed = batch.column(5)
+            own = np.flatnonzero(member)
+            if not len(own):
+                best = np.full((int(asks.sum()), k), np.inf)
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(best), pa.int64()), pa.array(ids[asks]), _lists(best, best.astype(bool).astype(np.int64))], ["cell", "nid", "found"])
+                continue
+            cell = Cell(Sparse(packed.take(pa.array(own)).to_pylist()), ids[own])
+            if asks[own].any():
+                yield pa.RecordBatch.from_arrays([home.take(pa.array(own)), pa.array(ids[own]), _lists(*cell.among(k))], ["cell", "nid", "found"])
+            others = np.flatnonzero(asks & ~member)
+            for a in range(0, len(others), 4096):
+                some = others[a : a + 4096]
+                found = nearest(cell, Sparse(packed.take(pa.array(some)).to_pylist()), ids[some], k)
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(some), pa.int64()), pa.array(ids[some]), _lists(*found)], ["cell", "nid", "found"])
 
     return run
 
@@ -317,6 +369,7 @@ def join_paths(walked: DataFrame, graph: DataFrame, most: int) -> DataFrame:
     pairs = graph.select("nid", F.explode("found").alias("x")).select(F.least("nid", "x.nid").alias("u"), F.greatest("nid", "x.nid").alias("v"), F.col("x.d").alias("d")).distinct()
     side = lambda n, c: ends.select(F.col("nid").alias(n), F.col("path").alias(c + "path"), F.col("first").alias(c + "first"), F.col("last").alias(c + "last"))
     edges = durable(pairs.join(side("u", "u"), "u").join(side("v", "v"), "v").where("upath <> vpath"))
+    kept = edges.columns
     left = walked.where("pos = 0").count()
     parts = durable(walked.where("pos = 0").select("path", F.col("path").alias("top"), F.lit(0).cast("long").alias("lead"), F.lit(False).alias("back"), F.col("size"), F.col("size").alias("whole")))
     while True:
@@ -326,7 +379,8 @@ def join_paths(walked: DataFrame, graph: DataFrame, most: int) -> DataFrame:
         front = lambda c: (F.col(c + "lead") == 0) & F.when(F.col(c + "back"), F.col(c + "last")).otherwise(F.col(c + "first"))
         rear = lambda c: (F.col(c + "lead") + F.col(c + "size") == F.col(c + "whole")) & F.when(F.col(c + "back"), F.col(c + "first")).otherwise(F.col(c + "last"))
         free = free.withColumns({"ufront": front("u"), "urear": rear("u"), "vfront": front("v"), "vrear": rear("v")}).where("(ufront OR urear) AND (vfront OR vrear)")
-        free = free.select("d", "u", "v", "utop", "vtop", "uwhole", "vwhole", "ufront", "urear", "vfront", "vrear")
+        free = durable(free.select(*kept, "utop", "vtop", "uwhole", "vwhole", "ufront", "urear", "vfront", "vrear"))
+        edges = free.select(*kept)  # an edge that isn't free never is again: joined paths only grow
         both = [free.select(F.col(a + "top").alias("top"), F.struct("d", "u", "v").alias("e")) for a in "uv"]
         best = both[0].unionByName(both[1]).groupBy("top").agg(F.min("e").alias("e"))
         pick = lambda c: best.select(F.col("top").alias(c + "top"), F.col("e").alias(c + "e"))
@@ -346,6 +400,16 @@ def join_paths(walked: DataFrame, graph: DataFrame, most: int) -> DataFrame:
             return parts.select("path", "top", "lead", "back")
 
 
+def lookup_parts(tree: Tree, sample: Sparse, n: int, cell_nodes: int, probes: int) -> np.ndarray:
+    """Into how many groups of about ``2 * cell_nodes`` the lookups of other cells' nodes in each cell are cut, by what the sample looks up: some cells are near to very many nodes."""
+    asked = np.zeros(tree.cells)
+    home = tree.home(sample)
+    for a in range(0, len(sample), 1024):
+        rows = np.arange(a, min(a + 1024, len(sample)))
+        asked += np.bincount(tree.near(sample, rows, home[rows], probes)[:, 1:].ravel(), minlength=tree.cells)
+    return np.maximum(1, np.ceil(asked * n / max(len(sample), 1) / (2 * cell_nodes))).astype(np.int64)
+
+
 def neighbour_graph(nodes: DataFrame, k: int = 8, cell_nodes: int = 4096, probes: int = 2) -> DataFrame:
     """(cell, nid, found) with the k nearest of each node (nid, vec), nearest first, by (distance, nid), among the cells that it is looked up in."""
     n = nodes.count()
@@ -354,7 +418,10 @@ def neighbour_graph(nodes: DataFrame, k: int = 8, cell_nodes: int = 4096, probes
         cells *= 2
     share = min(1.0, max(LEAST_SAMPLE, PER_CELL * cells) / max(n, 1))
     sample = nodes.where(F.pmod(F.xxhash64("nid"), F.lit(1 << 30)) < int(share * (1 << 30))).orderBy("nid").select("vec").toPandas()["vec"] if cells > 1 else []
-    tree = Tree(Sparse([bytes(v) for v in sample]), cells)
+    rows = Sparse([bytes(v) for v in sample])
+    tree = Tree(rows, cells)
+    part_count = lookup_parts(tree, rows, n, cell_nodes, probes)
+    first = np.append(0, np.cumsum(part_count))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -363,12 +430,21 @@ def neighbour_graph(nodes: DataFrame, k: int = 8, cell_nodes: int = 4096, probes
                 rows = Sparse(part.column(1).to_pylist())
                 home = tree.home(rows)
                 cell = tree.near(rows, np.arange(len(rows)), home, probes)
-                row = np.repeat(np.arange(len(rows)), cell.shape[1])
+                others = cell[:, 1:]
+                salt = part.column(0).to_numpy()[:, None].view(U64) % part_count[others].astype(U64)
+                copies = part_count[home]
+                twin = np.repeat(np.arange(len(rows)), copies)
+                turn = np.arange(len(twin)) - np.repeat(np.cumsum(copies) - copies, copies)
+                row = np.concatenate([twin, np.repeat(np.arange(len(rows)), others.shape[1])])
+                group = np.concatenate([first[home[twin]] + turn, (first[others] + salt.astype(np.int64)).ravel()])
+                member = np.arange(len(row)) < len(twin)
+                asks = np.append(turn == 0, np.ones(others.size, bool))
                 at = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(cell.ravel()), part.column(0).take(at), pa.array(cell.ravel() == home[row]), part.column(1).take(at)], ["cell", "nid", "home", "vec"])
+                yield pa.RecordBatch.from_arrays([pa.array(group), pa.array(home[row]), part.column(0).take(at), pa.array(member), pa.array(asks), part.column(1).take(at)], ["group", "cell", "nid", "member", "asks", "vec"])
 
-    placed = nodes.select("nid", "vec").mapInArrow(place, "cell long, nid long, home boolean, vec binary")
-    found = placed.repartition("cell").sortWithinPartitions("cell").mapInArrow(_cell_rows(k), f"cell long, nid long, found {_FOUND}")
+    placed = nodes.select("nid", "vec").mapInArrow(place, "group long, cell long, nid long, member boolean, asks boolean, vec binary")
+    # a group is a task's work, however few bytes it has, so that groups aren't put together by size
+    found = placed.repartition(int(first[-1]), "group").sortWithinPartitions("group").mapInArrow(_cell_rows(k), f"cell long, nid long, found {_FOUND}")
     return found.groupBy("nid").agg(F.max("cell").alias("cell"), F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, k).alias("found")).select("cell", "nid", "found")
 
 

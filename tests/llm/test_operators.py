@@ -369,6 +369,41 @@ def test_recall_of_neighbours_and_even_cells(spark):
     nodes.unpersist()
 
 
+def test_lookups_in_a_cell_that_many_are_near_to_are_split(make, monkeypatch):
+    class Hot:
+        cells = 4
+        home = staticmethod(lambda rows: np.arange(len(rows)) % 3)
+        near = staticmethod(lambda rows, which, home, probes: np.stack([home, np.full(len(home), 3)], axis=1))
+
+    sample = packing.Sparse(packing.sketches(pa.array(["one two", "three"] * 50)))
+    assert packing.lookup_parts(Hot, sample, 100_000, 4096, 2).tolist() == [1, 1, 1, 13]
+    rng = random.Random(13)
+    nodes = packing.document_nodes(make([(i, " ".join(words(rng, 30, "abcd", (1, 4)))) for i in range(200)])).select("nid", "vec")
+    want = brute_neighbours(nodes.collect(), 5)
+    monkeypatch.setattr(packing, "lookup_parts", lambda tree, *_: np.arange(tree.cells) % 3 + 1)
+    got = {r.nid: [x.nid for x in r.found] for r in packing.neighbour_graph(nodes, 5, 32, 64).collect()}
+    assert got == {i: [n for _, n in want[i]] for i in want}
+
+
+@pytest.mark.parametrize("size", [5, 900])
+def test_products_in_cells_of_long_texts_are_dense(size, monkeypatch):
+    """Postings of numbers that most members have would take members x members products each."""
+    rng = random.Random(size)
+    members = packing.Sparse(packing.sketches(pa.array([" ".join(words(rng, size)) for _ in range(300)])))
+    ids = np.array(rng.sample(range(1000), 300))
+    cell = packing.Cell(members, ids)
+    count = np.bincount(members.cell, minlength=packing.SKETCH)
+    assert (count[cell.slot < 0] * packing.SELDOM <= 300).all()
+    one = cell.among(8)
+    monkeypatch.setattr(packing, "SQUARE", 0)
+    assert all((a == b).all() for a, b in zip(one, cell.among(8)))
+    x = members.dense(np.arange(300)).astype(float) / members.size[:, None]
+    d = 1 - np.round(x @ x.T, 9)
+    np.fill_diagonal(d, np.inf)
+    d[d >= 1] = np.inf
+    assert np.allclose(np.sort(d, axis=1)[:, :8], one[0])
+
+
 def test_paths_are_joined_across_cells(spark):
     """A chain of nodes in four cells comes out as one path, and longer ones than allowed are not made."""
     chain = [(i % 4, i, [(0.1, i + 1)] if i < 15 else []) for i in range(16)]
