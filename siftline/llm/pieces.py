@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrays import as_strings, byte_view, slices
-from .common import col, durable, file_system, fresh, made, require, shared_dir
+from .common import col, durable, file_system, forget, fresh, made, mark, require, shared_dir
 
 MARK, LONG, NEVER, SHIFT = "▁", 128, (1 << 24) - 1, 24
 MAX_BROADCAST_PIECES, SIZES = 1_000_000, 127
@@ -338,6 +338,7 @@ def part_segments(docs: DataFrame, text_col: str, p: Pieces) -> DataFrame:
         part = TaskContext.get().partitionId()
 
         def rows(found: pa.Array) -> Iterator[pa.RecordBatch]:
+            found = found.take(pc.sort_indices(found))  # packs more tightly
             for x in range(0, len(found), 1 << 16):
                 some = found.slice(x, 1 << 16)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), part, np.int32)), some], ["part", "segment"])
@@ -381,11 +382,16 @@ def encode(docs: DataFrame, pieces: Pieces, text_col: str = "text", decoded: str
     """``docs`` with ``ids``, and with their texts again in ``decoded`` if that is named; see the module's text."""
     require(docs, text_col)
     ids_col, decoded = fresh(docs, "ids", decoded) if decoded else (*fresh(docs, "ids"), None)
+    since = mark()
     pairs = durable(part_segments(docs, text_col, pieces), "zstd")
     tasks = min(max(pairs.count() >> 17, 1), 100_000)  # lattices are far larger than the segments that they come from
-    table = durable(encode_segments(pairs.select("segment").repartition(tasks, "segment").distinct(), pieces), "zstd")
+    # from here on a segment is one row, with its partitions as a list
+    parts = durable(pairs.repartition(tasks, "segment").groupBy("segment").agg(F.collect_list("part").alias("parts")), "zstd")
+    forget(docs.sparkSession, since, keep=1)
+    table = durable(encode_segments(parts.select("segment").repartition(tasks, "segment"), pieces), "zstd")
     path = made(f"{shared_dir(docs.sparkSession)}/pieces-{uuid.uuid4().hex}")
-    pairs.join(table, "segment").repartition("part").sortWithinPartitions("part", "segment").write.partitionBy("part").parquet(path, compression="zstd")
+    coded = parts.join(table, "segment").select(F.explode("parts").alias("part"), "segment", "ids")
+    coded.repartition("part").sortWithinPartitions("part", "segment").write.partitionBy("part").parquet(path, compression="zstd")
     at = docs.columns.index(text_col)
     kept_at = [i for i, c in enumerate(docs.columns) if keep_text or c != text_col]
     fields = [*[docs.schema.fields[i] for i in kept_at], T.StructField(ids_col, T.ArrayType(T.IntegerType()))]

@@ -63,6 +63,17 @@ def test_partitions_that_change_between_readings(spark, model, library, monkeypa
     assert all(r.ids == library.encode(r.text) for r in encode(df, model).collect())
 
 
+def test_tables_on_the_way_hold_a_segment_once(spark, model, library):
+    from siftline.llm import common
+
+    before = common.mark()
+    df = spark.createDataFrame([(i, f"one two three {i % 3}") for i in range(400)], "doc_id int, text string").repartition(4)
+    assert all(r.ids == library.encode(r.text) for r in encode(df, model).collect())
+    tables = [spark.read.parquet(x) for x in common._made[before:]]
+    assert len(tables) == 3 and all(t.count() == t.select("segment").distinct().count() for t in tables if "part" not in t.columns)
+    assert sum("part" in t.columns for t in tables) == 1
+
+
 def test_many_segments_are_passed_on(spark, model, library, monkeypatch):
     from siftline.llm import pieces
 
