@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from siftline.llm import chaining, langid, packing, quality, simhash, topk, warc
+from siftline.llm import chaining, common, langid, packing, quality, simhash, topk, warc
 from siftline.llm.exact_dedup import exact_dedup
 from siftline.llm.line_dedup import line_dedup
 
@@ -252,6 +252,16 @@ def test_pieces_elsewhere_hide_no_passage(make):
     assert [(r.id, r.other_id, r.word_start, r.word_end) for r in found] == [(two, one, 30, 150)]
 
 
+def test_matches_are_gone_before_texts_are_shuffled(make, spark):
+    rng = random.Random(14)
+    shared = " ".join(words(rng, 80))
+    before = common.mark()
+    found = chaining.repeated_passages(make([(i, " ".join(words(rng, 20)) + " " + shared) for i in range(3)]))
+    left = common._made[before:]
+    assert len(left) == 1 and "chain" in spark.read.parquet(left[0]).columns
+    assert sorted((r.id, r.other_id) for r in found.collect()) == [(1, 0), (2, 0)]
+
+
 def test_verbatim_passages_equal_all_pairs(make):
     """Documents patched together from stretches of a few texts: words that lie in 50 words which an earlier document has are reported, but for a few at ends, and hardly others."""
     rng = random.Random(44)
