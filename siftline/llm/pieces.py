@@ -224,13 +224,14 @@ def edge_table(words: DataFrame, p: Pieces) -> DataFrame:
     if len(p.texts) > MAX_BROADCAST_PIECES or p.longest > SIZES:
         raise ValueError(f"{len(p.texts)} pieces of up to {p.longest} characters are too many or too long")
     table = spark.createDataFrame(pa.table({"piece": pa.array(p.texts), "row": pa.array(range(len(p.texts)), pa.int32())}).to_pandas(), "piece string, row int")
-    starts = words.select("segment", F.length("segment").alias("size"), F.explode(F.sequence(F.lit(0), F.length("segment") - 1)).alias("s"))
-    subs = starts.select("segment", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(p.longest), F.col("size") - F.col("s")))).alias("k"))
-    subs = subs.select("segment", "s", "k", F.expr("substring(segment, s + 1, k)").alias("piece"))
+    words = words.select(F.monotonically_increasing_id().alias("at"), "segment", F.length("segment").alias("size"))  # edges come in the order of numbers, not of segments: grouping finds them sorted
+    starts = words.select("at", "segment", "size", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("s"))
+    subs = starts.select("at", "segment", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(p.longest), F.col("size") - F.col("s")))).alias("k"))
+    subs = subs.select("at", "segment", "s", "k", F.expr("substring(segment, s + 1, k)").alias("piece"))
     hits = subs.join(F.broadcast(table), "piece", "left").where("row IS NOT NULL OR k = 1")
     end, back = (F.col("s") + F.col("k")).cast("long"), (SIZES - F.col("k")).cast("long")
     packed = F.shiftleft(end, SHIFT + 7) + F.shiftleft(back, SHIFT) + F.coalesce("row", F.lit(len(p.texts))).cast("long")
-    return hits.groupBy("segment").agg(F.collect_list(packed).alias("edges"))
+    return hits.groupBy("at", "segment").agg(F.collect_list(packed).alias("edges")).drop("at")
 
 
 def fold_edges(p: Pieces) -> Column:
@@ -271,7 +272,7 @@ def fold_edges(p: Pieces) -> Column:
         raw = F.transform(F.sequence(F.lit(0), (F.length(digits) / 2).cast("int") - 1), lambda i: F.get(bytes_, F.conv(F.substring(digits, i * 2 + 1, F.lit(2)), 16, 10).cast("int")))
         return F.when(x["row"] < len(p.texts), known).otherwise(raw)
 
-    edges = F.transform(F.array_sort("edges"), unpack)
+    edges = F.transform(F.sort_array("edges"), unpack)  # array_sort would interpret a comparison in SQL
     kept = F.transform(F.array(edges), path)[0]
     return F.flatten(F.transform(F.transform(F.array(kept), trace)[0], emit))
 

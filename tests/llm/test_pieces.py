@@ -5,7 +5,7 @@ from functools import cache
 
 import pytest
 
-from siftline.llm.pieces import Pieces, decode, encode, encode_segment
+from siftline.llm.pieces import Pieces, decode, edge_table, encode, encode_segment, encode_segments, fold_edges
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -74,6 +74,18 @@ def test_tables_on_the_way_hold_a_segment_once(spark, model, library):
     assert sum("part" in t.columns for t in tables) == 1
 
 
+def test_the_lattice_is_grouped_by_number_and_sorted_natively(spark, model, library):
+    """Edges are grouped as they come, within one stage, and no comparison in SQL sorts them."""
+    words = spark.createDataFrame([(" " + w,) for w in ("one", "walking", "one", "é1")], "segment string").repartition(2, "segment")
+    lattice = edge_table(words, model).collect()
+    assert sorted(r.segment for r in lattice) == [" one", " one", " walking", " é1"]
+    assert all(len(r.edges) == len(set(r.edges)) for r in lattice)
+    coded = encode_segments(words.distinct().repartition(2, "segment"), model)
+    fold = str(fold_edges(model))
+    assert "sort_array(edges" in fold and "array_sort(" not in fold
+    assert {r.segment: [a << 8 | b for a, b in zip(r.ids[::2], r.ids[1::2])] for r in coded.collect()} == {w: library.encode(w[1:]) for w in (" one", " walking", " é1")}
+
+
 def test_many_segments_are_passed_on(spark, model, library, monkeypatch):
     from siftline.llm import pieces
 
