@@ -1,5 +1,7 @@
 """Null, empty, repeated and malformed rows in the operators of the core."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -46,3 +48,29 @@ def test_unreadable_sink_is_an_error(spark, tmp_path):
     (tmp_path / "bad").mkdir()
     with pytest.raises(AnalysisException):
         append_missing(df, str(tmp_path / "bad"), kind="parquet")
+
+
+@pytest.mark.parametrize("metric", ["levenshtein", "jaro", "jaro_winkler"])
+def test_similar_pairs_over_many_tiles(spark, metric):
+    rng = random.Random(7)
+    base = ["".join(rng.choice("abcé") for _ in range(n)) for n in (0, 1, 2, 9, 20, 63, 64, 65, 130)]
+    texts = [*base * 2, "a\0b", "a\0", "a"]
+    for t in base[3:] * 4:
+        k = rng.randrange(len(t))
+        texts.append(t[:k] + rng.choice(["", "x", "ab"]) + t[k + 1 :])
+    rows = [(k, k % 2, t) for k, t in enumerate(texts)] + [(900, None, "aaaa"), (901, 0, None), (None, 0, "abc"), (3, 1, texts[3])]
+    df = spark.createDataFrame(rows, "id int, k int, t string")
+    pair = df.select("k", F.col("id").alias("a"), F.col("t").alias("ta")).join(df.select("k", F.col("id").alias("b"), F.col("t").alias("tb")), "k").where("a < b")
+    plain = {"levenshtein": 1 - F.levenshtein("ta", "tb") / F.greatest(F.length("ta"), F.length("tb"), F.lit(1)), "jaro": dedup.jaro("ta", "tb"), "jaro_winkler": dedup.jaro_winkler("ta", "tb")}
+    want = sorted(map(tuple, pair.select("a", "b", F.round(plain[metric], 6).alias("s")).where("s >= 0.8").collect()))
+    for tile in (4, 2048):
+        assert sorted(map(tuple, dedup.similar_pairs(df, F.col("k"), "id", "t", metric, 0.8, tile).collect())) == want
+    cosine = [sorted(map(tuple, dedup.similar_pairs(df, F.col("k"), "id", "t", "cosine", 0.8, tile).collect())) for tile in (3, 2048)]
+    assert cosine[0] == cosine[1] != []
+
+
+def test_similar_pairs_spreads_a_hot_block(spark):
+    texts = spark.range(3000).select("id", F.concat(F.lit("http://host/"), F.col("id")).alias("t"))
+    for metric in ("levenshtein", "jaro"):
+        busy = dedup.similar_pairs(texts, F.lit(1), "id", "t", metric, tile=500).select(F.spark_partition_id().alias("p")).distinct().count()
+        assert busy > 1
