@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+
 
 class Provider(Protocol):
     def complete(self, instruction: str, text: str) -> tuple[str, float | None]:
@@ -201,9 +203,19 @@ def embed_words(tokens: DataFrame, vectors: DataFrame, key: str, token: str, vec
         pairs = missing.join(forms, "form").select("miss", "hit").distinct().withColumn("d", F.levenshtein("miss", "hit")).where("d <= 2")
         best = pairs.groupBy("miss").agg(F.min(F.struct("d", "hit")).alias("b")).select(F.col("miss").alias("_m"), F.col("b.hit").alias(token))
         found = found.unionByName(best.join(known, token).select(F.col("_m").alias(token), vector))
-    from .relational import pool_vectors
+    # spread by document before vectors come in: a word's vector is many times its bytes, and few words may have most of the tokens
+    spread = tokens.repartition(int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    whole = spread.join(found, token).where(F.size(vector) > 0).select(key, vector)
+    return whole.repartition(key).groupBy(key).agg(F.collect_list(vector).alias(vector)).select(key, _mean(F.col(vector)).alias(vector))
+
+
+def _mean(vectors: Column) -> Column:
+    """The mean of each dimension, without nulls, to six places."""
+
+    def one(d: Column) -> Column:
+        return let(F.filter(F.transform(vectors, lambda v: F.get(v, d).cast("double")), lambda x: x.isNotNull()), lambda xs: F.when(F.size(xs) > 0, F.round(F.aggregate(xs, F.lit(0.0), lambda a, x: a + x) / F.size(xs), 6)))
 
-    return pool_vectors(tokens.join(found, token).select(key, vector), key, vector)
+    return F.transform(F.sequence(F.lit(0), F.array_max(F.transform(vectors, F.size)) - 1), one)
 
 
 def _less_one(w: Column) -> Column:

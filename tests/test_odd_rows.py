@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from siftline.operators import dedup, relational
+from siftline.operators import dedup, models, relational
 from siftline.sinks.files import append_missing
 from siftline.sources.annotations import pubtator, pubtator_errors
 
@@ -74,3 +74,12 @@ def test_similar_pairs_spreads_a_hot_block(spark):
     for metric in ("levenshtein", "jaro"):
         busy = dedup.similar_pairs(texts, F.lit(1), "id", "t", metric, tile=500).select(F.spark_partition_id().alias("p")).distinct().count()
         assert busy > 1
+
+
+def test_embed_words_with_nulls_and_without_exploding(spark):
+    tokens = spark.createDataFrame([(1, "aa"), (1, "bb"), (1, "aa"), (2, "cc"), (3, "dd"), (4, "eeeeeee"), (5, None), (None, "aa"), (None, "bb")], "k int, w string")
+    vectors = spark.createDataFrame([("aa", [1.0, None, 0.1]), ("bb", [2.0, 5.0]), ("cc", []), ("dd", [None])], "w string, v array<float>")
+    df = models.embed_words(tokens, vectors, "k", "w", "v", repair=False)
+    assert {r.k: r.v for r in df.collect()} == {1: [1.333333, 5.0, 0.1], 3: [None], None: [1.5, 5.0, 0.1]}
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in plan
