@@ -83,3 +83,12 @@ def test_embed_words_with_nulls_and_without_exploding(spark):
     assert {r.k: r.v for r in df.collect()} == {1: [1.333333, 5.0, 0.1], 3: [None], None: [1.5, 5.0, 0.1]}
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "posexplode" not in plan
+
+
+def test_minhash_makes_each_key_once(spark):
+    texts = spark.createDataFrame([(k, " ".join(f"w{(k % 3) * 100 + x}" for x in range(300))) for k in range(9)] + [(4, "same id, other text")], "doc_id int, text string")
+    df = dedup.minhash_pairs(texts)
+    assert sorted(map(tuple, df.collect())) == sorted((a, b, 1.0) for a in (0, 1, 2) for b in (a + 3, a + 6))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    uses = plan.count("ArrowEvalPython") / plan.count("LeftSemi")
+    assert uses <= 3 and "Window" in plan
