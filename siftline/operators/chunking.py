@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.batches import each
 from ..functions.text import let, words_ws
 
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+(?=\S)")
@@ -36,12 +37,7 @@ def word_count(text: str) -> int:
 
 
 def _chunker(split: Callable[[str], list[str]], size: Callable[[str], int], most: int, joiner: str, glue: int = 0):
-    @F.pandas_udf("array<string>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([None if t is None else pack(split(t), size, most, joiner, glue) for t in texts])
-
-    return run
+    return each(lambda t: pack(split(t), size, most, joiner, glue), "array<string>")
 
 
 def chunk(df: DataFrame, id_col: str, chunks: Column) -> DataFrame:

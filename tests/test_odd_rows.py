@@ -2,13 +2,16 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from siftline.operators import dedup, models, relational
+from siftline.functions import batches
+from siftline.operators import chunking, dedup, models, relational
 from siftline.sinks.files import append_missing
 from siftline.sources.annotations import pubtator, pubtator_errors
+from siftline.sources.html import html_text
 
 
 def test_dedup_lines_keeps_rows_of_one_id_apart(spark):
@@ -92,3 +95,19 @@ def test_minhash_makes_each_key_once(spark):
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     uses = plan.count("ArrowEvalPython") / plan.count("LeftSemi")
     assert uses <= 3 and "Window" in plan
+
+
+@pytest.mark.parametrize("name", ["chunks", "html"])
+def test_python_on_texts_in_small_steps(spark, name):
+    df = spark.createDataFrame([(k, None if k % 7 == 0 else f"<p>one {k}</p>\n\n<p>two</p>") for k in range(300)], "id int, t string").repartition(1)
+    column = chunking.paragraph_chunks(F.col("t"), 2) if name == "chunks" else html_text(F.col("t"))
+    got = {r.id: r.x for r in df.select("id", column.alias("x")).collect()}
+    want = {k: None if k % 7 == 0 else [f"<p>one {k}</p>", "<p>two</p>"] if name == "chunks" else f"one {k}\ntwo" for k in range(300)}
+    assert got == want
+
+
+def test_each_holds_few_results(monkeypatch):
+    monkeypatch.setattr(F, "arrow_udf", lambda kind: lambda fn: fn)
+    run = batches.each(str.upper, "string")
+    sizes = [len(x) for x in run(iter([pa.array(["a"] * 1000), pa.array([None, "b"])]))]
+    assert max(sizes) <= batches.STEP and sum(sizes) == 1002
