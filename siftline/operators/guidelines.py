@@ -10,11 +10,12 @@ import re
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
+from ..functions.batches import STEP
 from ..functions.text import fingerprint
 from .dedup import first_per_key
 
@@ -349,14 +350,17 @@ def process_guidelines(df: DataFrame, language: Callable[[Column], Column] | Non
     Order as documented: rules, language, then one row of each opening; ids are the SHA-1 of source and place within it.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = [SOURCES[g["source"]](g) if g["source"] in SOURCES else None for g in pdf.to_dict("records")]
-            out = pdf.assign(new_title=[f and f["title"] for f in found], clean_text=[f and f["text"] for f in found])
-            yield out[out["clean_text"].notna()]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, STEP):  # few rows are Python objects at once
+                some = batch.slice(at, STEP)
+                found = [SOURCES[g["source"]](g) if g["source"] in SOURCES else None for g in some.to_pylist()]
+                new = [pa.array([f and f[c] for f in found], pa.string()) for c in ("title", "text")]
+                out = pa.RecordBatch.from_arrays([*some.columns, *new], [*some.schema.names, "new_title", "clean_text"])
+                yield out.filter(new[1].is_valid())
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    rows = df.mapInPandas(run, f"{kinds}, new_title string, clean_text string").where(F.length("clean_text") > min_chars)
+    rows = df.mapInArrow(run, f"{kinds}, new_title string, clean_text string").where(F.length("clean_text") > min_chars)
     if language is not None:
         rows = rows.where(language(F.col("clean_text")) == "en")
     rows = first_per_key(rows, [fingerprint(F.col("clean_text"))], ["source", "position"])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from siftline.functions import batches
-from siftline.operators import chunking, dedup, models, relational
+from siftline.operators import chunking, dedup, guidelines, models, relational
 from siftline.sinks.files import append_missing
 from siftline.sources.annotations import pubtator, pubtator_errors
 from siftline.sources.html import html_text
@@ -111,3 +111,10 @@ def test_each_holds_few_results(monkeypatch):
     run = batches.each(str.upper, "string")
     sizes = [len(x) for x in run(iter([pa.array(["a"] * 1000), pa.array([None, "b"])]))]
     assert max(sizes) <= batches.STEP and sum(sizes) == 1002
+
+
+def test_guidelines_run_on_arrow_rows(spark):
+    text = "Overview\n" + "\n".join(f"A line of the guideline with many words, number {w}." for w in ("one", "two", "three", "four"))
+    rows = [("cma", k, None if k % 2 else f"title {k}", f"{text} {'x' * k}", "u", None) for k in range(150)] + [("unknown", 1, "t", text, "u", None)]
+    df = guidelines.process_guidelines(spark.createDataFrame(rows, "source string, position long, title string, text string, url string, overview string"))
+    assert df.count() == 150 and "MapInArrow" in df._jdf.queryExecution().optimizedPlan().toString()
